@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, token_files
+from . import fingerprints, media, mixing, near_dup, packing, token_files, warc
 
 #: Place of the tokenizer that op4 uses: a parameter, resolved on the machine.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -33,5 +45,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op6_media_gif, op8_packing, op9_mixing)}
-ORACLES = {"op9_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_fingerprints, op4_token_files, op5_warc, op6_media_gif, op8_packing, op9_mixing)}
+ORACLES = {"op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
