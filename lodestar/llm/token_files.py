@@ -27,6 +27,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,17 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, arrow_schema, as_local, make_folder, new_folder, open_write
 
 #: Distinct words whose ids a worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 MANIFEST = "shard string, first_doc long, n_docs long, n_ids long, width int"
 NULL_DOC = -(1 << 63)
 
 
 class WordEncoder:
-    """Encodes by distinct words. A tokenizer that drops white space between
-    words gives a text's ids as the ids of its words in turn, so each distinct
-    word goes through the tokenizer once for each time the table starts anew.
-    A tokenizer of another kind is used on whole texts (``by_word=False``)."""
+    """Encodes by distinct words. A tokenizer that lower-cases and drops white
+    space between words gives a text's ids as the ids of its words in turn, so
+    each distinct word goes through the tokenizer once for each time the table
+    starts anew. A tokenizer of another kind is used on whole texts
+    (``by_word=False``), and so is a text that may hold special tokens."""
 
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
@@ -53,23 +55,48 @@ class WordEncoder:
         self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark = next((t.encode() for t in special if t.startswith("<|")), None)
+        self.mark_id = special.get(self.mark.decode()) if self.mark else None
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Many words a call, divided by a special token that none of them holds."""
+        for i in range(0, len(new), 20_000):
+            groups = [new[j : j + 200] for j in range(i, min(i + 20_000, len(new)), 200)]
+            for words, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, self.dtype)
+                cuts, data = (np.flatnonzero(ids == self.mark_id) * self.width).tolist(), ids.tobytes()
+                for word, a, b in zip(words, [0, *(c + self.width for c in cuts)], [*cuts, len(data)], strict=True):
+                    self.known[word] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in the file's integers."""
-        if not self.by_word:
-            return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        # Only the blank, tab and newline divide here; the tokenizer sees any other white space.
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if not self.by_word or self.mark is None:
+            return self.whole(texts)
+        odd = [i for i, t in enumerate(texts) if "<|" in t]
+        # A-Z only: the tokenizer lower-cases all other letters itself.
+        split = [t.encode("utf-8", "replace").lower().split() for t in texts]
+        for i in odd:
+            split[i] = []
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(e.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        known = self.known
+        new = list(set(filterfalse(known.__contains__, chain.from_iterable(split))))
+        if new:
+            # A word and one comma or stop after it are encoded apart.
+            ends = [w for w in new if w[-1:] in (b",", b".") and w[:-1].isalpha()]
+            parts = {w[:-1] for w in ends} | {b",", b"."}
+            self._learn(list((parts | set(new).difference(ends)) - known.keys()))
+            for w in ends:
+                known[w] = known[w[:-1]] + known[w[-1:]]
+        get = known.__getitem__
+        coded = [b"".join(map(get, words)) for words in split]
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            coded[i] = ids
+        return coded
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
