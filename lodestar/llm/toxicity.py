@@ -64,7 +64,7 @@ class Model:
         get, index, rows = known.get, self.index, []
         for text in texts:
             words = set(words_of(text))
-            new = words - known.keys()
+            new = [w for w in words if w not in known]
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
                 new = words
