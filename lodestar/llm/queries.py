@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, near_dup, packing, quality, token_files, toxicity, warc
+from . import fingerprints, lm, media, mixing, near_dup, packing, quality, token_files, toxicity, warc
 from .labels import remainder
 
 #: Place of the tokenizer that op4 uses: a parameter, resolved on the machine.
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), 3, 1, toxicity.DROP_AT)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_fingerprints, op4_token_files, op5_warc, op6_media_gif, op7_quality, op8_packing, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_near_duplicates, op3_fingerprints, op4_token_files, op5_warc, op6_media_gif, op7_quality, op8_packing, op9_mixing, op10_toxicity)}
 ORACLES = {"op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
