@@ -89,7 +89,7 @@ class WordEncoder:
             # A word and one comma or stop after it are encoded apart.
             ends = [w for w in new if w[-1:] in (b",", b".") and w[:-1].isalpha()]
             parts = {w[:-1] for w in ends} | {b",", b"."}
-            self._learn(list((parts | set(new).difference(ends)) - known.keys()))
+            self._learn([w for w in parts | set(new).difference(ends) if w not in known])
             for w in ends:
                 known[w] = known[w[:-1]] + known[w[-1:]]
         get = known.__getitem__
