@@ -136,3 +136,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share:
     spread = rows.join(F.broadcast(hot), key)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
     return spread.unionByName(others)
+
+
+def scored_rows(docs: DataFrame, passes) -> DataFrame:
+    """The rows of ``docs`` for whose texts ``passes``, a function from a list of
+    texts to an array of booleans, is true; every column as it was."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.filter(pa.array(passes(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, utf8
+from .common import arrow_batch, arrow_schema, scored_rows, utf8
 from .labels import sampled
 
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 2000
@@ -193,22 +193,31 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
     return fit(x, n, np.array([r["counts"] for r in rows]), np.array([r["label"] for r in rows]))
 
 
+def block_scores(texts: list[str | None], model: Chain) -> np.ndarray:
+    """Scores of the texts, taken in blocks of bounded size, a long text alone."""
+    data, out, at = [utf8(t) for t in texts], [], 0
+    while at < len(data):
+        end, held = at + 1, len(data[at])
+        while end < len(data) and held + len(data[end]) < 1 << 21:
+            held += len(data[end])
+            end += 1
+        out.append(model.score(*line_features(data[at:end])))
+        at = end
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def score(docs: DataFrame, model: Chain) -> DataFrame:
-    """doc_id, score, n_lines of every document."""
-    ddl = "doc_id long, score double, n_lines int"
-    schema = arrow_schema(ddl)
+    """doc_id, score of every document."""
+    schema = arrow_schema("doc_id long, score double")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).cast(pa.int64()), [utf8(t) for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):  # blocks of bounded size, a long text alone
-                end, held = at + 1, len(texts[at])
-                while end < len(texts) and held + len(texts[end]) < 1 << 21:
-                    held += len(texts[end])
-                    end += 1
-                x, n, counts = line_features(texts[at:end])
-                yield arrow_batch(schema, [ids[at:end], model.score(x, n, counts), counts])
-                at = end
-
-    return docs.select("doc_id", "text").mapInArrow(each, ddl)
+            yield arrow_batch(schema, [batch.column(0).cast(pa.int64()), block_scores(batch.column(1).to_pylist(), model)])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Chain, at: float = KEEP_AT) -> DataFrame:
+    """``docs`` without the documents that score below ``at``: scored where they
+    lie, so no row is shuffled."""
+    return scored_rows(docs, lambda texts: block_scores(texts, model) >= at)

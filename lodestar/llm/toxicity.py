@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, words_of
+from .common import arrow_batch, arrow_schema, scored_rows, words_of
 from .labels import sampled
 
 POSITIVES, UNLABELLED = 3000, 10_000
@@ -154,3 +154,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield arrow_batch(schema, [batch.column(0).cast(pa.int64()), scores, met])
 
     return docs.select("doc_id", "text").mapInArrow(each, ddl)
+
+
+def keep(docs: DataFrame, model: Model, at: float = DROP_AT) -> DataFrame:
+    """``docs`` without the documents that score ``at`` or more: scored where
+    they lie, so no row is shuffled."""
+    known: dict[bytes, tuple[int, ...]] = {}
+    return scored_rows(docs, lambda texts: model.scores(texts, known)[0] < at)
