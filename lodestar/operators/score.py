@@ -94,12 +94,12 @@ def fuzzy_awards() -> Column:
 
 
 def key_awards() -> Column:
-    """SC28-SC36 and the labels SC37."""
+    """SC28-SC35."""
     c = F.col
     sound = (F.length("q_ph") >= 3) & (c("ph") != "")
     single = (F.size("q_tokens") == 1) & (F.length("qc") >= 4) & c("head_family") & c("bn").contains(" ")
     share, d = coverage("qc", "headc"), bounded_levenshtein("qc", "headc", 2)
-    typed, rescued = keyboard_ratio("qc", "bc"), F.col("rescue.score") >= RESCUE_LEAST
+    typed = keyboard_ratio("qc", "bc")
     same_first = (first("bc") != "") & (first("qc") == first("bc"))
     return awards(
         award("drug_phonetic_key", 500, sound & (c("q_ph") == c("ph"))), award("drug_phonetic_prefix", 650, sound & (c("q_ph") != c("ph")) & c("ph").startswith(c("q_ph"))),
@@ -108,10 +108,15 @@ def key_awards() -> Column:
         award(F.concat(F.lit("brand_head_ed"), d.cast("string")), 400 - 60 * d, single & d.isNotNull() & ((first("qc") == first("headc")) | firsts_confusable("qc", "headc"))),
         award("visual_confusion_candidate", 210, F.exists("q_visual", lambda v: (c("bc") == v) | c("bc").startswith(v) | c("c").startswith(v))),
         award("keyboard_proximity", 250.0 * typed, typed >= 0.68), award("keyboard_first_char", 160, (typed >= 0.68) & same_first),
-        award("algorithm4_family_rescue", 620.0 * F.col("rescue.score"), rescued), *[award(label, 0, rescued & (F.col(f"rescue.{part}") >= least)) for part, least, label in FLAGS],
     )
 
 
+def rescue_awards() -> Column:
+    """SC36 and the labels SC37, from the column ``rescue`` of ``evidence``."""
+    met = F.col("rescue.score") >= RESCUE_LEAST
+    return awards(award("algorithm4_family_rescue", 620.0 * F.col("rescue.score"), met), *[award(label, 0, met & (F.col(f"rescue.{part}") >= least)) for part, least, label in FLAGS])
+
+
 def context_facts() -> Column:
     """SC38-SC44."""
     c, has = F.col, lambda flag: F.array_contains("warning_flags", flag)
@@ -160,7 +165,7 @@ def score(pairs: DataFrame) -> DataFrame:
     """Scored pairs with evidence fields; only scores above 0 stay (F2), and in
     the unreadable modes only bases that fit the pattern (F3)."""
     rows = pairs.join(evidence(pairs), ["query_id", "bc", "headc"])
-    parts = F.concat(exact_and_prefix(), token_awards(), context_awards(), fuzzy_awards(), key_awards(), context_facts())
+    parts = F.concat(exact_and_prefix(), token_awards(), context_awards(), fuzzy_awards(), key_awards(), rescue_awards(), context_facts())
     rows = rows.withColumn("awards", parts).withColumn("score", F.aggregate("awards", F.lit(0.0), lambda a, s: a + s["pts"]))
     rows = rows.where(F.col("score") > 0).where(pattern_matches())
     known = F.col("unreadable_mode") != "none"

@@ -40,6 +40,12 @@ class Catalog:
         self.records.write.mode("overwrite").parquet(path)
         return Catalog(self.records.sparkSession.read.parquet(path))
 
+    def cached(self) -> Catalog:
+        """Keeps records and postings with the executors; what is lost is computed again."""
+        self.records.persist()
+        self.postings.persist()
+        return self
+
     @cached_property
     def danger(self) -> DataFrame:
         return prefix_danger(self.records, 1)
