@@ -9,9 +9,6 @@ from pyspark.sql import window as W
 from ..functions.normalize import filled, pieces
 from ..functions.similarity import pure_deletion
 
-BY_SCORE = (F.desc("score"), "name_key", "candidate_id")
-
-
 def _query(*order) -> W.WindowSpec:
     return W.Window.partitionBy("query_id").orderBy(*order)
 
@@ -32,7 +29,8 @@ def eligible() -> Column:
 def promote(scored: DataFrame) -> DataFrame:
     """RK1, RK2: ``pos`` by score, then the best eligible correction to the front."""
     rows = scored.withColumns({"name_key": F.collate(F.coalesce("commercial_name_en", F.lit("")), "UNICODE"), "dist": F.when(F.col("head_variant"), F.least("raw", "head_raw")).otherwise(F.col("raw"))})
-    rows = rows.withColumns({"pos": F.row_number().over(_query(*BY_SCORE)), "top": F.first(F.struct("score", "raw", "dist", "bc", "base_norm")).over(_query(*BY_SCORE))})
+    by_score = _query(F.desc("score"), "name_key", "candidate_id")
+    rows = rows.withColumns({"pos": F.row_number().over(by_score), "top": F.first(F.struct("score", "raw", "dist", "bc", "base_norm")).over(by_score)})
     rows = rows.withColumn("corrects", F.col("brand_like") & (F.col("top.raw") != 0) & (F.col("pos") > 1) & eligible())
     best = F.row_number().over(_query(F.desc("corrects"), "dist", "weighted", F.desc("edge"), F.desc("positional"), F.desc("score"), "pos"))
     rows = rows.withColumn("front", F.col("corrects") & (best == 1))
