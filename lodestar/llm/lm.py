@@ -94,7 +94,7 @@ class Model:
 
     def __post_init__(self):
         n = len(self.tokens)
-        self.rare, self.start = n, n + 1
+        self.rare, self.start, self.short = n, n + 1, min(SHORTLIST, n)
         self.ids = {t: i for i, t in enumerate(self.tokens)}
         rank = np.arange(n)
         bands = np.zeros(n, np.int64)
@@ -157,7 +157,7 @@ class Model:
         y = self.class_of[token]
         z = self.class_scores(outer)
         out = z[np.arange(len(at)), y] - np.log(np.exp(z).sum(axis=1))
-        short = np.flatnonzero(token < SHORTLIST) if len(self.tokens) else np.empty(0, np.int64)
+        short = np.flatnonzero(token < self.short)
         if len(short):
             w = self.word_scores([r[short] for r in inner], y[short])
             out[short] += w[np.arange(len(short)), token[short] % CLASS_WORDS] - np.log(np.exp(w).sum(axis=1))
@@ -170,7 +170,7 @@ class Model:
         y = self.class_of[token]
         for r in outer:
             g += np.bincount(r * CLASSES + y, minlength=g.size).reshape(g.shape)
-        short = np.flatnonzero(token < min(SHORTLIST, len(self.tokens)))
+        short = np.flatnonzero(token < self.short)
         for r in inner:
             h += np.bincount(r[short] * SHORTLIST + token[short], minlength=h.size).reshape(h.shape)
 
@@ -186,7 +186,7 @@ class Model:
         _scatter(g, outer, p)
         for r in outer:
             n += np.bincount(r, minlength=len(n))
-        short = np.flatnonzero(token < min(SHORTLIST, len(self.tokens)))
+        short = np.flatnonzero(token < self.short)
         if len(short):
             rows, classes = [r[short] for r in inner], y[short]
             q = np.exp(self.word_scores(rows, classes))
@@ -204,6 +204,9 @@ class Model:
         rate = (g + PRIOR * p) / (g.sum(axis=1, keepdims=True) + PRIOR)
         self.theta = (DAMPING * np.log(rate / p)).astype(np.float32)
         self.theta[ROWS] = np.log(p)
+        absent = np.bincount(self.class_of, minlength=CLASSES) == 0
+        self.theta[:, absent] = 0
+        self.theta[ROWS, absent] = -1e4
         blocks = h.reshape(len(h), -1, CLASS_WORDS)
         q = (blocks[INNER] + 1e-3) / (blocks[INNER] + 1e-3).sum(axis=1, keepdims=True)
         rate = (blocks + PRIOR * q) / (blocks.sum(axis=2, keepdims=True) + PRIOR)
@@ -340,9 +343,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [words_of(t) for t in batch.column(2).to_pylist()]
+            keys, texts = batch.column(0).to_pylist(), map(words_of, batch.column(2).to_pylist())
             done = 0
-            for part in blocks_of(iter(texts)):
+            for part in blocks_of(texts):
                 rows, doc_ids = keys[done : done + len(part)], batch.column(1).slice(done, len(part)).cast(pa.int64())
                 done += len(part)
                 ids, marked = m.encode(part)

@@ -8,7 +8,8 @@ which keeps the model from memorising the unlabelled text.
 
 Features of a document: which words, and which word beginnings of 4, 5 and 6
 bytes, occur in it, hashed to 32 bits. Those enter the model that occur in at
-least LEAST toxic documents, at LIFT times their rate in unlabelled text.
+least LEAST toxic documents and stand out from unlabelled text by LIFT of what a
+feature of toxic text alone would, whose rates differ by 1 / prior.
 
 Fitting takes at most POSITIVES toxic and UNLABELLED unlabelled documents (by
 smallest hash of their ids, so the choice doesn't depend on the partitioning).
@@ -35,7 +36,7 @@ from .common import arrow_batch, arrow_schema, scored_rows, words_of
 from .labels import sampled
 
 POSITIVES, UNLABELLED = 3000, 10_000
-LEAST, LIFT, MOST_FEATURES = 5, 5.0, 1 << 16
+LEAST, LIFT, MOST_FEATURES = 5, 0.6, 1 << 16
 BEGINNINGS = (4, 5, 6)
 DROP_AT = 0.7
 #: Distinct words whose features a worker keeps; beyond it the table starts anew.
@@ -87,7 +88,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     at = np.minimum(np.searchsorted(known, features), len(known) - 1)
     common = np.where(known[at] == features, df_u[at], 0) if len(known) else np.zeros(len(features))
     lift = (df_p / len(positive)) / ((common + 0.5) / len(unlabelled))
-    good = np.flatnonzero((df_p >= LEAST) & (lift >= LIFT))
+    good = np.flatnonzero((df_p >= LEAST) & (lift >= LIFT / prior))
     good = good[np.lexsort((features[good], -df_p[good]))][:MOST_FEATURES]
     index = {int(f): i for i, f in enumerate(features[good])}
 
