@@ -8,7 +8,7 @@ one limit kept: a deletion key shared by more records than that says nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -21,51 +21,53 @@ from .postings import document_frequency, union_all
 MAX_BUCKET = 600
 
 
-def _probe(q: DataFrame, kind: str, keys, when=None) -> DataFrame:
-    rows = q if when is None else q.where(when)
-    return rows.select("query_id", F.lit(kind).alias("kind"), F.explode(keys).alias("key")).where("key <> ''")
-
-
 def _cut(c, n: int = 12):
     return F.substring(c, 1, n)
 
 
-def token_probes(q: DataFrame) -> DataFrame:
-    """One row for each token with the facts that gate its probes."""
-    t = q.select("query_id", "q_tokens", "q_generic", "q_specific", F.explode("q_tokens").alias("t"))
+def probing_tokens() -> Column:
+    """Tokens that generate candidates: of several tokens, no numbers and
+    route words; of more than two, none of two characters; no generic ones
+    beside specific ones."""
     many, routes = F.size("q_tokens"), mapping(LEXICON.routes)
-    ranking_only = (F.col("t").rlike("^[0-9]+$") & (many > 1)) | (F.try_element_at(routes, F.col("t")).isNotNull() & (many > 1)) | ((F.length("t") <= 2) & (many > 2))
-    return t.select("query_id", "t", many.alias("many"), F.size("q_generic").alias("generics"), (~ranking_only & ~(is_generic(F.col("t")) & (F.size("q_specific") > 0))).alias("probes"))
+
+    def keep(t: Column) -> Column:
+        ranking_only = ((many > 1) & (t.rlike("^[0-9]+$") | F.try_element_at(routes, t).isNotNull())) | ((F.length(t) <= 2) & (many > 2))
+        return ~ranking_only & ~(is_generic(t) & (F.size("q_specific") > 0))
+
+    return F.filter("q_tokens", keep)
 
 
 def probes(q: DataFrame) -> DataFrame:
-    """Every probe with a fixed key."""
+    """Every probe with a fixed key (J1, J2, J4-J8, J10, J12-J15): one pass over
+    the queries, each exploded to its (kind, key) pairs."""
     n = F.length("qc")
-    t = token_probes(q)
     windows = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("q_tokens"), F.lit(1))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.array_join(F.slice("q_tokens", i, k), ""))))
     unit_deletes = F.flatten(F.transform("q_units", lambda u: F.filter(deletes(u["value"], u["threshold"]), lambda d: F.length(d) >= 3)))
     frames = F.filter(F.transform("q_units", lambda u: u["skeleton"]), lambda s: F.length(s) >= 3)
-    target = alias_target("qc", "qn")
-    return union_all([
-        _probe(q, "exact", F.array("qn", "qc")), _probe(q, "prefix", F.array(_cut("qn"), _cut("qc"))), _probe(q, "prefix", F.transform(first_letter_variants("qc"), _cut)),
-        _probe(q, "suffix", F.array(_cut(F.reverse("qc"))), n >= 4), _probe(q, "baseExact", F.filter(windows, lambda w: F.length(w) >= 4)),
-        _probe(t, "token", F.array("t"), F.col("probes")), _probe(t, "prefix", F.array("t"), F.col("t").rlike("^[0-9]{3,4}$") & (F.col("generics") > 0) & (F.col("many") <= 3)),
-        _probe(t, "baseExact", F.array(alias_target("t"))), _probe(q, "baseExact", F.array(target)), _probe(q, "headExact", F.array("qc")),
-        _probe(q, "delete", unit_deletes), _probe(q, "headDelete", unit_deletes), _probe(q, "skeleton", frames), _probe(q, "skeletonPrefix", F.transform(frames, lambda s: _cut(s, 10))),
-        _probe(q, "exact", F.col("q_visual")), _probe(q, "prefix", F.transform("q_visual", _cut)),
-        _probe(q, "phonetic", F.array("q_ph"), F.length("q_ph") >= 3), _probe(q, "headPhonetic", F.array("q_ph"), F.length("q_ph") >= 3), _probe(q, "phoneticPrefix", F.array(_cut("q_ph")), F.length("q_ph") >= 3),
-    ]).distinct()
+    numeric = F.when((F.size("q_generic") > 0) & (F.size("q_tokens") <= 3), F.filter("q_tokens", lambda t: t.rlike("^[0-9]{3,4}$")))
+    sound, prefix12 = F.length("q_ph") >= 3, lambda a: F.transform(a, lambda c: _cut(c))
+    wanted = [
+        ("exact", F.array("qn", "qc")), ("exact", F.col("q_visual")), ("prefix", prefix12(F.array("qn", "qc"))), ("prefix", prefix12(first_letter_variants("qc"))), ("prefix", prefix12("q_visual")), ("prefix", numeric),
+        ("suffix", F.when(n >= 4, F.array(_cut(F.reverse("qc"))))), ("baseExact", F.filter(windows, lambda w: F.length(w) >= 4)), ("baseExact", F.transform("q_tokens", lambda t: alias_target(t))), ("baseExact", F.array(alias_target("qc", "qn"))),
+        ("token", F.col("q_probing")), ("headExact", F.array("qc")), ("delete", unit_deletes), ("headDelete", unit_deletes), ("skeleton", frames), ("skeletonPrefix", F.transform(frames, lambda s: _cut(s, 10))),
+        ("phonetic", F.when(sound, F.array("q_ph"))), ("headPhonetic", F.when(sound, F.array("q_ph"))), ("phoneticPrefix", F.when(sound, F.array(_cut("q_ph")))),
+    ]
+    lists = q.withColumn("q_probing", probing_tokens()).select("query_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), keys.alias("keys")) for k, keys in wanted])).alias("p"))
+    return lists.select("query_id", "p.kind", F.explode("p.keys").alias("key")).where("key <> ''").distinct()
 
 
 def rarest_grams(q: DataFrame, posted: DataFrame) -> DataFrame:
     """Of a query's grams that occur, the four rarest 4-grams, the five
     rarest 3-grams, and each probing token's rarest 3-gram."""
     df = document_frequency(posted.where(F.col("kind").isin("grams", "grams4")))
-    whole = union_all([q.where(F.length("qc") >= 3).select("query_id", F.lit("").alias("t"), F.lit(kind).alias("kind"), F.posexplode(ngrams("qc", n)).alias("at", "key"), F.lit(most).alias("most")) for kind, n, most in (("grams4", 4, 4), ("grams", 3, 5))])
-    t = token_probes(q).where(F.col("probes") & (F.length("t") >= 3) & (F.col("many") <= 3))
-    single = t.select("query_id", "t", F.lit("grams").alias("kind"), F.posexplode(ngrams("t", 3)).alias("at", "key"), F.lit(1).alias("most"))
+    long = F.length("qc") >= 3
+    source = lambda kind, most, text, grams: F.struct(F.lit(kind).alias("kind"), F.lit(most).alias("most"), text.alias("t"), grams.alias("grams"))
+    whole = F.array(source("grams4", 4, F.lit(""), F.when(long, ngrams("qc", 4))), source("grams", 5, F.lit(""), F.when(long, ngrams("qc", 3))))
+    single = F.when(F.size("q_tokens") <= 3, F.transform(F.filter(F.array_distinct(probing_tokens()), lambda t: F.length(t) >= 3), lambda t: source("grams", 1, t, ngrams(t, 3))))
+    rows = q.select("query_id", F.explode(F.concat(whole, F.coalesce(single, F.slice(whole, 1, 0)))).alias("s")).select("query_id", "s.kind", "s.most", "s.t", F.posexplode("s.grams").alias("at", "key"))
     rank = F.row_number().over(W.Window.partitionBy("query_id", "kind", "t").orderBy("df", "at"))
-    return whole.unionByName(single).join(df, ["kind", "key"]).withColumn("r", rank).where("r <= most").select("query_id", "kind", "key").distinct()
+    return rows.join(df, ["kind", "key"]).withColumn("r", rank).where("r <= most").select("query_id", "kind", "key").distinct()
 
 
 def length_bands(q: DataFrame, prepared: DataFrame) -> DataFrame:
