@@ -481,6 +481,21 @@ def rank_by_score(spark, d):
     return R.promote(_toy_scored(spark, d)).select("query_id", "candidate_id", "pos")
 
 
+@query(f"""{RANKED_SQL}, t AS (SELECT *, CAST(candidate_id AS INTEGER) % 4 AS raw, string_split(base, ' ')[1] AS family, length(replace(base, ' ', '')) AS n FROM s),
+r AS (SELECT *, row_number() OVER w AS pos, first_value(raw) OVER w AS top_raw, first_value(score) OVER w AS top_score FROM t WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, name, candidate_id)),
+c AS (SELECT *, pos > 1 AND top_raw <> 0 AND raw < top_raw AND raw <= 2 AND abs(5 - n) = raw AND top_score - score <= 120 AS corrects FROM r),
+b AS (SELECT *, corrects AND row_number() OVER (PARTITION BY query_id ORDER BY corrects DESC, raw, score DESC, pos) = 1 AS front FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY front DESC, pos) AS pos2 FROM b),
+l AS (SELECT *, first_value(raw) OVER v AS raw1, first_value(family) OVER v AS family1, first_value(base) OVER v AS base1 FROM p WINDOW v AS (PARTITION BY query_id ORDER BY pos2))
+SELECT query_id, candidate_id, front, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pos2 = 1 THEN 0 WHEN raw1 = 0 AND family = family1 AND base <> base1 THEN 1 ELSE 2 END, pos2) AS INTEGER) AS pos FROM l""")
+def rank_promotion_lift(spark, d):
+    rows = _toy_scored(spark, d).withColumns({"raw": (F.col("p_partkey") % 4).cast("int"), "weighted": (F.col("p_partkey") % 4).cast("double"), "brand_like": F.lit(True), "family_group_key": F.get(F.split("base_group_key", " "), F.lit(0))})
+    plain = R.promote(rows.withColumn("brand_like", F.lit(False))).select("query_id", "candidate_id", F.col("pos").alias("was"))
+    promoted = R.promote(rows)
+    moved = promoted.select("query_id", "candidate_id", F.col("pos").alias("is")).join(plain, ["query_id", "candidate_id"]).select("query_id", "candidate_id", ((F.col("is") == 1) & (F.col("was") > 1)).alias("front"))
+    return R.lift_family(promoted).join(moved, ["query_id", "candidate_id"]).select("query_id", "candidate_id", "front", "pos")
+
+
 @query(f"""{RANKED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, base ORDER BY score DESC, name, candidate_id) AS nth FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, candidate_id) AS rank FROM r WHERE nth = 1)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, candidate_id, base AS base_group_key FROM k WHERE rank <= 5""")
