@@ -94,7 +94,7 @@ def fuzzy_awards() -> Column:
 
 
 def key_awards() -> Column:
-    """SC28-SC35."""
+    """SC28-SC32, SC34, SC35: they depend on the base alone."""
     c = F.col
     sound = (F.length("q_ph") >= 3) & (c("ph") != "")
     single = (F.size("q_tokens") == 1) & (F.length("qc") >= 4) & c("head_family") & c("bn").contains(" ")
@@ -106,11 +106,15 @@ def key_awards() -> Column:
         award("phonetic_first_char", 250, sound & same_first),
         award("brand_head_consonant_frame", 1200.0 * share, single & (F.length("q_sk") >= 3) & (c("q_sk") == c("headsk")) & (share >= 0.60)),
         award(F.concat(F.lit("brand_head_ed"), d.cast("string")), 400 - 60 * d, single & d.isNotNull() & ((first("qc") == first("headc")) | firsts_confusable("qc", "headc"))),
-        award("visual_confusion_candidate", 210, F.exists("q_visual", lambda v: (c("bc") == v) | c("bc").startswith(v) | c("c").startswith(v))),
         award("keyboard_proximity", 250.0 * typed, typed >= 0.68), award("keyboard_first_char", 160, (typed >= 0.68) & same_first),
     )
 
 
+def visual_awards() -> Column:
+    """SC33."""
+    return awards(award("visual_confusion_candidate", 210, F.exists("q_visual", lambda v: (F.col("bc") == v) | F.col("bc").startswith(v) | F.col("c").startswith(v))))
+
+
 def rescue_awards() -> Column:
     """SC36 and the labels SC37, from the column ``rescue`` of ``evidence``."""
     met = F.col("rescue.score") >= RESCUE_LEAST
@@ -131,11 +135,17 @@ def context_facts() -> Column:
     )
 
 
+#: What evidence depends on: a query's fields and a base's.
+GRAIN = "query_id qc q_values q_units q_ph q_sk q_tokens bn bc headc head_family sk ph headsk".split()
+BASE = ["query_id", "bn", "headc", "head_family"]
+
+
 def evidence(pairs: DataFrame) -> DataFrame:
-    """query_id, bc, headc with raw, weighted, head_raw and the best rescue: the
-    costly measures once for each distinct (query, base, head), not once a record."""
-    grain = pairs.select("query_id", "qc", "q_values", "bc", "headc").distinct()
-    value = grain.select("query_id", "qc", "bc", "headc", F.posexplode("q_values").alias("at", "value"))
+    """BASE with raw, weighted, head_raw, the best rescue, and the awards of the
+    base: the costly measures once for each distinct (query, base), not once a
+    record."""
+    grain = pairs.select(*GRAIN).distinct().withColumn("base_awards", F.concat(fuzzy_awards(), key_awards()))
+    value = grain.select(*BASE, "qc", "bc", "base_awards", F.posexplode("q_values").alias("at", "value"))
     value = value.withColumn("d", osa("value", "bc"))
     head = F.when(F.col("at") == 0, osa("qc", "headc"))
     value = value.withColumns({"head_raw": head["raw"], "m": F.struct(*[v.alias(k) for k, v in rescue_parts("value", "bc", F.col("d.raw"), F.col("d.weighted")).items()])})
@@ -143,7 +153,9 @@ def evidence(pairs: DataFrame) -> DataFrame:
     value = value.withColumn("rescue", F.when(score.isNotNull(), F.struct(score.alias("score"), *[F.col(f"m.{p}").alias(p) for p, _, _ in FLAGS])))
     own = F.col("at") == 0
     order = F.when(F.col("rescue").isNotNull(), F.struct(F.col("rescue.score"), -F.col("at")))
-    return value.groupBy("query_id", "bc", "headc").agg(F.max(F.when(own, F.col("d.raw"))).alias("raw"), F.max(F.when(own, F.col("d.weighted"))).alias("weighted"), F.max("head_raw").alias("head_raw"), F.max_by("rescue", order).alias("rescue"))
+    return value.groupBy(*BASE).agg(
+        F.max(F.when(own, F.col("d.raw"))).alias("raw"), F.max(F.when(own, F.col("d.weighted"))).alias("weighted"), F.max("head_raw").alias("head_raw"), F.max_by("rescue", order).alias("rescue"), F.first("base_awards").alias("base_awards")
+    )
 
 
 def pattern_matches(target: Column | str = "bc", visible: Column | str = "qc", ending: Column | str = "q_ending", mode: Column | str = "unreadable_mode") -> Column:
@@ -164,8 +176,8 @@ SCORED = (
 def score(pairs: DataFrame) -> DataFrame:
     """Scored pairs with evidence fields; only scores above 0 stay (F2), and in
     the unreadable modes only bases that fit the pattern (F3)."""
-    rows = pairs.join(evidence(pairs), ["query_id", "bc", "headc"])
-    parts = F.concat(exact_and_prefix(), token_awards(), context_awards(), fuzzy_awards(), key_awards(), rescue_awards(), context_facts())
+    rows = pairs.join(evidence(pairs), BASE)
+    parts = F.concat(exact_and_prefix(), token_awards(), context_awards(), F.col("base_awards"), visual_awards(), rescue_awards(), context_facts())
     rows = rows.withColumn("awards", parts).withColumn("score", F.aggregate("awards", F.lit(0.0), lambda a, s: a + s["pts"]))
     rows = rows.where(F.col("score") > 0).where(pattern_matches())
     known = F.col("unreadable_mode") != "none"

@@ -407,7 +407,7 @@ _points("score_exact_prefix", SC.exact_and_prefix, [
 ])
 _lev = "levenshtein(v, bc)"
 _unit = "list_filter(list_distinct(list_concat([qc], toks)), lambda v: length(v) >= 4)"
-_points("score_keys", SC.key_awards, [
+_points("score_keys", lambda: F.concat(SC.key_awards(), SC.visual_awards()), [
     ("drug_phonetic_key", "500", "length(q_ph) >= 3 AND q_ph = ph"), ("drug_phonetic_prefix", "650", "length(q_ph) >= 3 AND ph <> q_ph AND starts_with(ph, q_ph)"), ("phonetic_first_char", "250", f"length(q_ph) >= 3 AND ph <> '' AND {_same}"),
     ("brand_head_consonant_frame", f"1200 * ({O.coverage('qc', 'headc')})", f"len(toks) = 1 AND length(qc) >= 4 AND head_family AND contains(bn, ' ') AND length(q_sk) >= 3 AND q_sk = {O.skeleton('headc')} AND ({O.coverage('qc', 'headc')}) >= 0.60"),
     ("concat('brand_head_ed', levenshtein(qc, headc))", "400 - 60 * levenshtein(qc, headc)", f"len(toks) = 1 AND length(qc) >= 4 AND head_family AND contains(bn, ' ') AND levenshtein(qc, headc) <= 2 AND (substr(qc, 1, 1) = substr(headc, 1, 1) OR {O.confusable('qc', 'headc')})"),
