@@ -17,6 +17,16 @@ All this runs on distinct fingerprints, so exact copies cost nothing, and a
 fingerprint has at most 2,080 others within 2 bits, so links grow with the
 number of distinct fingerprints and not with the square of a group.
 
+Near copies (``near_copies``, for the pipeline) are another relation: texts whose
+sets of five-word shingles have a Jaccard similarity of LEAST or more. Texts of
+equal sets form a class. Classes meet where all KEY_HASHES MinHashes of one of
+KEYS keys agree, which a pair of similarity 0.8 misses with a probability of
+(1 - 0.8**5)**32, 3 in a million, and a closer one more rarely. Every pair is then
+checked on its exact sets: first each member of a key with one of its members,
+drawn at random; then, of keys whose members are not yet one component, all
+pairs across components. So a large group of copies costs no square, and no pair
+of a key is left unchecked that could join two components.
+
 Edge cases: null and empty texts have fingerprint 0 and are linked like any
 other; fewer than three words are one shingle; a null doc_id gives a null
 component and takes part in no link of its own; rows with equal ids form one
@@ -41,6 +51,8 @@ from .graph import components
 
 THRESHOLD, RADIUS, BLOCK, GENERATOR = 2, 3, 23, 0b110001110101
 SEED, SHINGLE = 42, 3
+#: Near copies: shingle width, least Jaccard similarity, MinHash keys of a text and hashes of a key.
+COPY_SHINGLE, LEAST, KEYS, KEY_HASHES = 5, 0.8, 32, 5
 #: Bytes of shingle hashes that are voted on at once.
 BLOCK_BYTES = 1 << 20
 
@@ -174,9 +186,107 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), own, "class_size")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id."""
-    first = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id"))
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.frombuffer(shingle_hashes(text, width), ">u8").astype(np.uint64))
+
+
+def minhash_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """KEYS keys for each of the sets, none of them empty."""
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(0, 1 << 63, KEYS * KEY_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    masks = rng.integers(0, 1 << 63, KEYS * KEY_HASHES, dtype=np.uint64)
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty((len(sets), KEYS), np.int64)
+    for k in range(KEYS):
+        at = range(k * KEY_HASHES, (k + 1) * KEY_HASHES)
+        rows = np.stack([np.minimum.reduceat((flat ^ masks[i]) * factors[i], starts) for i in at], axis=1)
+        out[:, k] = [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for r in rows]
+    return out
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, same (a digest of the text's shingle set), n (its size), keys."""
+    ddl = "doc_id long, same binary, n long, keys array<long>"
+    schema = arrow_schema(ddl)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, at = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                part, held = [], 0
+                while at + len(part) < len(texts) and held < BLOCK_BYTES:
+                    part.append(shingle_set(texts[at + len(part)], width))
+                    held += part[-1].nbytes
+                some = [s for s in part if len(s)]
+                found = iter(minhash_keys(some).tolist() if some else [])
+                yield arrow_batch(schema, [ids.slice(at, len(part)), [xxhash.xxh128_digest(s.tobytes()) for s in part], [len(s) for s in part], [next(found) if len(s) else [] for s in part]])
+                at += len(part)
+
+    return docs.select("doc_id", "text").mapInArrow(each, ddl)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The rows a, b of ``pairs`` (distinct, stored) whose texts have a Jaccard
+    similarity of ``least`` or more."""
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = stored(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").distinct(), "copy-texts")
+
+    def with_text(rows: DataFrame, key: str) -> DataFrame:
+        sizes = rows.groupBy(key).agg(F.count("*").alias("_size"))
+        own = texts.join(sizes, texts.doc_id == sizes[key]).select(key, "_size", F.col("text").alias(f"text_{key}"))
+        return join_groups(rows, own, key, "_size").drop("_size")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            last, own, near = None, None, []
+            for x, y in zip(a, b, strict=True):
+                if own is None or x != last:
+                    last, own = x, shingle_set(x, width)
+                other = shingle_set(y, width)
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                near.append(common >= least * (len(own) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return with_text(with_text(pairs, "a"), "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = LEAST) -> DataFrame:
+    """doc_id, component_id, class_size of every document; components of texts
+    whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    sets = stored(shingle_sets(docs, width), "shingle-sets")
+    classes = stored(sets.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-classes")
+    rows = classes.where("rep is not null").select("rep", "n", F.explode("keys").alias("key"))
+    drawn = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep"), F.col("n")))
+    met = rows.groupBy("key").agg(F.count("*").alias("size"), drawn.alias("first")).where("size > 1")
+    met = stored(met.select("key", "size", F.col("first.rep").alias("a"), F.col("first.n").alias("m")), "copy-keys")
+    rows = stored(rows.join(met.select("key"), "key", "left_semi"), "copy-members")
+    # Sets whose sizes are further apart than ``least`` can't be that similar.
+    fit = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
+    stars = join_groups(rows, met, "key", "size").where((F.col("rep") != F.col("a")) & fit)
+    first = stored(stars.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "copy-pairs")
+    edges = stored(similar(first, docs, width, least), "copy-links")
+    roots = components(edges)
+    named = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    named = stored(named, "copy-roots")
+    open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = stored(named.join(open_keys, "key", "left_semi"), "copy-open")
+    x, y = left.alias("x"), left.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")).alias("y")
+    across = x.join(y, "key").where((F.col("rep") < F.col("other")) & (F.col("root") != F.col("other_root")) & fit)
+    across = across.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    edges = edges.unionByName(similar(stored(across, "copy-pairs"), docs, width, least))
+    roots = components(edges)
+    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", "class_size", F.coalesce("root", "rep").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return join_groups(sets.select("doc_id", "same"), named, "same", "class_size").select("doc_id", own, "class_size")
+
+
+def keep_one(docs: DataFrame, found=near_duplicates) -> DataFrame:
+    """``docs`` with one document of each component, as ``found`` gives them: that
+    with the smallest id."""
+    first = found(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id"))
     kept = docs.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     once = F.row_number().over(W.Window.partitionBy("doc_id").orderBy("text"))
     return kept.withColumn("_n", once).where("_n = 1 or doc_id is null").select(*docs.columns)

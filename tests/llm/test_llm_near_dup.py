@@ -112,3 +112,53 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert got == [(1, 1), (1, 1), (7, 1), (None, None)]
     assert sorted((r["doc_id"] for r in nd.keep_one(df).collect()), key=str) == [1, None]
     assert nd.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = {}
+    for base in range(12):
+        words = [rng.choice(vocabulary) for _ in range(200)]
+        for copy in range(8):
+            w = list(words)
+            for _ in range(copy):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts[base * 10 + copy] = " ".join(w)
+    texts |= {500: None, 501: "", 502: "one", 503: "ONE", 504: texts[0] + " " + texts[0]}
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, root, far = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}, 0
+    prints = {k: nd.majority([nd.shingle_hashes(t)])[0] for k, t in texts.items()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+                far += int(np.bitwise_count(prints[a] ^ prints[b])) > 2
+    assert far > 20  # pairs that fingerprints within two bits don't link
+    df = spark.createDataFrame([(k, t, "en", "z", 1) for k, t in texts.items()], SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in nd.near_copies(df).collect()} == {k: find(k) for k in texts}
+    kept = nd.keep_one(df, nd.near_copies)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {find(k) for k in texts}
+    odd = spark.createDataFrame([(1, "a b c d", "", "", 1), (1, "a b c d", "", "", 1), (None, "a b c d", "", "", 1), (7, "a b c d", "", "", 1)], SCHEMA)
+    assert sorted((r["doc_id"] for r in nd.keep_one(odd, nd.near_copies).collect()), key=str) == [1, None]
+    assert nd.near_copies(odd.limit(0)).count() == 0
+
+
+def test_pipeline_stage_removes_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    near = [*words[:100], "x", *words[101:250], "y", *words[251:]]  # Jaccard 0.95
+    df = spark.createDataFrame([(1, " ".join(words), "en", "z", 1), (2, " ".join(near), "en", "z", 1), (3, " ".join(words[::-1]), "en", "z", 1)], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dup_stage(spark, df, "").collect()) == [1, 3]
