@@ -11,16 +11,15 @@ form the last class. P(token | history) = P(class | history) * P(token | class,
 history); inside a band or the last class the second factor is (c + 1) over the
 class's sum, so the model's probabilities add up to 1.
 
-Features of a history: the word before (n-gram), the one before that (skip) and
-both together (n-gram), hashed to ROWS rows; inside a class of the shortlist the
-first two, hashed to INNER rows.
+Features of a history: the word before (n-gram), the one before that (skip),
+both together (n-gram), and the one three back (skip), hashed to ROWS rows; inside
+a class of the shortlist the first two, hashed to INNER rows.
 
-Training. Training texts fall into SLICES by a hash of their ids. The first
-COUNTED slices give feature-by-class counts, whose damped log ratios are the
-initial weights. Each further slice is a round, one distributed gradient update:
-every task sums its texts' gradients at the current weights, the sums are added
-up by block of the model in streaming fashion, and each row moves by its
-gradient over its number of occurrences. Every training text is used once.
+Training. All training texts give feature-by-class counts, whose damped log
+ratios are the initial weights. Then each of ROUNDS rounds is one distributed
+gradient update over all training texts: every task sums its texts' gradients at
+the current weights, the sums are added up by block of the model in streaming
+fashion, and each row moves by its gradient over its number of occurrences.
 
 Scoring. Texts are scored in numpy batches; tokens outside the head go, once a
 text, through a join with the counts. A token there makes up less than 1/HEAD
@@ -52,7 +51,7 @@ from .common import arrow_batch, arrow_schema, stored, words_of
 HEAD, SHORTLIST, CLASS_WORDS, BANDS = 500_000, 512, 32, 3
 CLASSES = SHORTLIST // CLASS_WORDS + BANDS + 1
 LAST = CLASSES - 1
-ROWS, INNER, SLICES, COUNTED = 1 << 13, 1 << 10, 4, 2
+ROWS, INNER, ROUNDS = 1 << 13, 1 << 10, 3
 PRIOR, DAMPING, RATE = 5.0, 0.5, 0.7
 #: Distinct tokens that a task counts before it passes them on; tokens in a numpy batch.
 FLUSH, BATCH = 200_000, 1 << 13
@@ -115,20 +114,20 @@ class Model:
         start marks; which of them are tokens."""
         get, out = self.ids.get, []
         for words in texts:
-            out += [self.start, self.start, *map(get, words, repeat(self.rare)), get(END, self.rare)]
+            out += [self.start, self.start, self.start, *map(get, words, repeat(self.rare)), get(END, self.rare)]
         ids = np.array(out, np.int64)
         return ids, ids != self.start
 
     def histories(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a, b = (ids[at - k].astype(np.uint64) for k in (1, 2))
+        a, b, c = (ids[at - k].astype(np.uint64) for k in (1, 2, 3))
 
         def row(key: np.ndarray, salt: int, bits: int) -> np.ndarray:
             return (((key + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
         bits, inner = ROWS.bit_length() - 1, INNER.bit_length() - 1
         both = a * np.uint64(1 << 21) + b
-        outer = [row(a, 1 << 44, bits), row(b, 2 << 44, bits), row(both, 3 << 44, bits), np.full(len(at), ROWS)]
-        return outer, [row(a, 4 << 44, inner), row(b, 5 << 44, inner), np.full(len(at), INNER)]
+        outer = [row(a, 1 << 44, bits), row(b, 2 << 44, bits), row(both, 3 << 44, bits), row(c, 4 << 44, bits), np.full(len(at), ROWS)]
+        return outer, [row(a, 5 << 44, inner), row(b, 6 << 44, inner), np.full(len(at), INNER)]
 
     def class_scores(self, rows: list[np.ndarray]) -> np.ndarray:
         z = self.theta[rows[0]]
@@ -237,7 +236,7 @@ def blocks_of(texts: Iterator[list[bytes]], size: int = BATCH) -> Iterator[list[
     part, held = [], 0
     for words in texts:
         part.append(words)
-        held += len(words) + 3
+        held += len(words) + 4
         if held >= size:
             yield part
             part, held = [], 0
@@ -325,10 +324,9 @@ def train(docs: DataFrame, held_out: Column) -> tuple[Model, DataFrame]:
     head.sort(key=lambda r: (-r["c"], bytes(r["token"])))
     c = np.array([r["c"] for r in head], np.float64)
     model = Model([bytes(r["token"]) for r in head], c, total, distinct, int(total - c.sum()), distinct - len(head))
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("slice")), F.lit(SLICES))
-    model.start_from(*_gather(own.where(part < COUNTED), _Shared(spark, model), True))
-    for r in range(COUNTED, SLICES):
-        model.step(*_gather(own.where(part == r), _Shared(spark, model), False))
+    model.start_from(*_gather(own, _Shared(spark, model), True))
+    for _ in range(ROUNDS):
+        model.step(*_gather(own, _Shared(spark, model), False))
     return model, counts
 
 

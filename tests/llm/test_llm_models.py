@@ -176,3 +176,20 @@ def test_lm_edges(spark):
     held = lm.report(df, F.lit(True)).collect()
     assert all(r["score"] == r["base_score"] == 0 and r["n_known"] == 0 for r in held)
     assert lm.report(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_all_training_texts_reach_the_counts_and_every_round(spark, monkeypatch):
+    seen, gather = [], lm._gather
+    monkeypatch.setattr(lm, "_gather", lambda docs, shared, counting: (seen.append((counting, docs.count())), gather(docs, shared, counting))[1])
+    df = spark.createDataFrame([(i, f"a b c w{i % 5}") for i in range(40)], "doc_id long, text string")
+    lm.train(df, F.col("doc_id") < 8)
+    assert seen == [(True, 32)] + [(False, 32)] * 3
+
+
+def test_the_word_three_back_is_a_feature():
+    model = lm.Model([b"a", b"b", b"x", b"y"], np.array([4.0, 3.0, 2.0, 1.0]), 10, 4, 0, 0)
+    rows = []
+    for first in (b"x", b"y"):
+        ids, marked = model.encode([[first, b"a", b"b", b"a"]])
+        rows.append([int(r[3]) for r in model.histories(ids, np.flatnonzero(marked))[0]])
+    assert sum(a != b for a, b in zip(*rows, strict=True)) == 1
