@@ -4,11 +4,11 @@ The global histogram of lengths is aggregated; dynamic programming over it
 chooses the bucket boundaries that minimise padding; inside each bucket,
 batches are filled up to a token budget.
 
-The histogram has one bin for each length up to EXACT_BINS distinct lengths.
-Where there are more, lengths are first rounded up to a grid whose step is the
-smallest that leaves EXACT_BINS bins, so the driver's share is bounded; the
-boundaries are then optimal on that grid, and every document still has its true
-length and lies in a bucket that holds it.
+The histogram has one bin for each distinct length, and the boundaries are optimal
+on it whatever their number: lengths that differ add up to at least half the
+square of their number, so it is at most about the root of twice the tokens. The
+programme is solved by divide and conquer (the best origin moves up with j), a
+level of it at once, so a bucket costs n log n for n lengths.
 
 A document's place in its bucket comes from prefix sums over hash slots, so no
 task orders a whole bucket: a slot holds about SLOT_ROWS documents of it however
@@ -28,26 +28,51 @@ from pyspark.sql import window as W
 
 from .common import n_words, stored
 
+#: The grid that lengths were once rounded to; every number of bins is exact now.
 EXACT_BINS = 4096
+#: Origins that the programme looks at in one numpy step.
+BATCH = 1 << 20
 SLOT_ROWS = 20_000
 
 
+def _best_origins(cost: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j > 0 the least cost[i] + lengths[j] * (rows[j + 1] - rows[i + 1])
+    over i < j, and the first i that gives it. That i never falls as j grows: so
+    the middles of all open ranges of j are solved together, each over the
+    origins between those of its neighbours already solved."""
+    n = len(lengths)
+    least, origin = np.full(n, np.inf), np.zeros(n, np.int64)
+    lo, hi, first, last = (np.array([x]) for x in (1, n - 1, 0, n - 2))
+    while len(lo):
+        mid = (lo + hi) // 2
+        sizes = np.minimum(last, mid - 1) - first + 1
+        starts = np.cumsum(sizes) - sizes
+        # A group of ranges whose origins fill a batch.
+        for part in np.split(np.arange(len(mid)), np.flatnonzero(np.diff(starts // BATCH)) + 1):
+            size, at = sizes[part], starts[part] - starts[part[0]]
+            i = np.arange(size.sum()) - np.repeat(at, size) + np.repeat(first[part], size)
+            j = np.repeat(mid[part], size)
+            options = cost[i] + lengths[j] * (rows[j + 1] - rows[i + 1])
+            best = np.minimum.reduceat(options, at)
+            hit = np.where(options == np.repeat(best, size), i, n)
+            least[mid[part]], origin[mid[part]] = best, np.minimum.reduceat(hit, at)
+        lo, hi, first, last = np.append(lo, mid + 1), np.append(mid - 1, hi), np.append(first, origin[mid]), np.append(origin[mid], last)
+        some = lo <= hi
+        lo, hi, first, last = lo[some], hi[some], first[some], last[some]
+    return least, origin
+
+
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` ranges of the sorted ``lengths`` that
-    minimise sum(count * bound). cost[k][j] = min_i cost[k-1][i] + bound_j * rows(i, j);
-    a step is one vectorised minimum over i for each j."""
+    minimise sum(count * bound). cost[k][j] = min_i cost[k-1][i] + bound_j * rows(i, j)."""
     n = len(lengths)
     rows = np.concatenate([[0.0], np.cumsum(counts, dtype=np.float64)])
     cost, back = lengths * rows[1:], []
     for _ in range(min(buckets, n) - 1):
-        new, origin = cost.copy(), np.full(n, -1)
-        for j in range(1, n):
-            options = cost[:j] + lengths[j] * (rows[j + 1] - rows[1 : j + 1])
-            i = int(options.argmin())
-            if options[i] < new[j]:
-                new[j], origin[j] = options[i], i
-        cost = new
-        back.append(origin)
+        least, origin = _best_origins(cost, lengths, rows)
+        better = least < cost
+        back.append(np.where(better, origin, -1))
+        cost = np.where(better, least, cost)
     bounds, j = [], n - 1
     for origin in reversed(back):
         bounds.append(int(lengths[j]))
@@ -61,10 +86,6 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
 
 def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     bins = lengths.groupBy("n_tokens").agg(F.count("*").alias("n"))
-    top, distinct = bins.agg(F.max("n_tokens"), F.count("*")).first()
-    if distinct and distinct > EXACT_BINS:
-        step = -(-int(top) // EXACT_BINS)
-        bins = bins.groupBy((F.ceil(F.col("n_tokens") / step) * step).alias("n_tokens")).agg(F.sum("n").alias("n"))
     got = np.array([tuple(r) for r in bins.orderBy("n_tokens").collect()], dtype=np.int64).reshape(-1, 2)
     return got[:, 0].astype(np.float64), got[:, 1]
 

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import mixing, packing
 
@@ -128,3 +129,18 @@ def test_many_lengths_go_to_a_grid(spark, monkeypatch):
     rows = [(i, "w " * i, "s") for i in range(100)]
     got = packing.pack(frame(spark, rows), buckets=3).collect()
     assert len(got) == 100 and all(r["padding"] >= 0 and r["n_tokens"] == r["doc_id"] + 1 for r in got)
+
+
+def test_many_lengths_and_an_outlier_keep_exact_boundaries(spark):
+    rng = np.random.default_rng(7)
+    lengths = np.append(np.arange(1, 5001), 4_000_000)
+    counts = np.append(rng.integers(1, 5, 5000), 1)
+    df = spark.createDataFrame([(n, c) for n, c in zip(lengths.tolist(), counts.tolist(), strict=True)], "n long, c int")
+    df = df.selectExpr("n as doc_id", "'' as text", "explode(array_repeat(n, c)) as n")
+    got = packing.pack(df, buckets=4, length=F.col("n")).agg(F.sum("padding"), F.count("*")).first()
+    # The outlier has a bucket of its own; the others are cut by a plain programme.
+    rows = np.concatenate([[0], np.cumsum(counts[:-1])])
+    cost = lengths[:-1] * rows[1:]
+    for _ in range(2):
+        cost = np.array([min(cost[j], (cost[:j] + lengths[j] * (rows[j + 1] - rows[1 : j + 1])).min(initial=cost[j])) for j in range(5000)])
+    assert tuple(got) == (cost[-1] - (lengths * counts)[:-1].sum(), counts.sum())
