@@ -16,8 +16,8 @@ from ..operators.rank import rank
 from ..operators.score import score
 from ..sources.catalog import prefix_danger, prepare_catalog, queries_frame, short_registry
 
-#: Queries of a batch up to which all of them are scored against every record:
-#: only a side of checked size is broadcast. Larger batches go by postings.
+#: Queries of a batch up to which they are broadcast, as only a side of checked
+#: size is; larger batches meet the catalogue in blocks of about so many.
 EXHAUSTIVE_QUERIES = 2000
 
 
@@ -59,12 +59,15 @@ class Catalog:
         return postings(self.records)
 
 
-def pair(catalog: Catalog, queries: DataFrame, exhaustive: bool | None = None) -> DataFrame:
-    """Every analysed query with the records to score it against."""
-    if exhaustive is None:
-        exhaustive = queries.limit(EXHAUSTIVE_QUERIES + 1).count() <= EXHAUSTIVE_QUERIES
+def pair(catalog: Catalog, queries: DataFrame, exhaustive: bool = True) -> DataFrame:
+    """Every analysed query with the records to score it against: all of them,
+    or, where not ``exhaustive``, those that share a key with it."""
     if exhaustive:
-        return catalog.records.crossJoin(F.broadcast(queries))
+        n = queries.count()
+        if n <= EXHAUSTIVE_QUERIES:
+            return catalog.records.crossJoin(F.broadcast(queries))
+        blocks = queries.repartition(-(-n // EXHAUSTIVE_QUERIES))
+        return catalog.records.crossJoin(blocks.hint("shuffle_replicate_nl"))
     found = candidates(queries, catalog.records, catalog.postings)
     return found.join(queries, "query_id").join(catalog.records, "candidate_id")
 
@@ -80,8 +83,9 @@ class Answer:
         self.summary.write.mode("overwrite").format(format).save(f"{path}/summary")
 
 
-def search_batch(catalog: Catalog, queries: DataFrame, exhaustive: bool | None = None) -> Answer:
-    """``queries``: query_id, text, unreadable_mode, ending_fragment, result_limit."""
+def search_batch(catalog: Catalog, queries: DataFrame, exhaustive: bool = True) -> Answer:
+    """``queries``: query_id, text, unreadable_mode, ending_fragment, result_limit.
+    Results don't depend on the size of the batch."""
     asked = analyze(queries)
     pairs = pair(catalog, asked, exhaustive)
     risks = risk(asked, catalog.danger, catalog.registry)

@@ -136,3 +136,14 @@ def test_stream_of_requests(spark, tmp_path):
     assert running.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out/results"))
     assert {(r["query_id"], r["candidate_id"]) for r in got.collect()} == {("0", "1"), ("1", "1")}
+
+
+def test_a_batch_of_several_blocks_is_scored_in_full(spark, monkeypatch):
+    cat = catalog(spark, PANADOL, ("2", "CALCIUM", "", "CALCIUM"), ("3", "SKIN CREAM", "", "SKIN CREAM"), ("4", "LIPITOR", "", "LIPITOR"))
+    asked = C.queries_frame(spark, ["PANADL", "calcim", "lipitr", "skin", "ZZZZ"])
+    whole = search_batch(cat, asked, exhaustive=True)
+    want, summary = rows(whole), sorted(whole.summary.collect())
+    monkeypatch.setattr("lodestar.plans.search.EXHAUSTIVE_QUERIES", 2)
+    blocks = search_batch(cat, asked)
+    assert rows(blocks) == want and sorted(blocks.summary.collect()) == summary
+    assert {r["candidate_count"] for r in summary} == {4}
