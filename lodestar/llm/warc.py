@@ -100,7 +100,7 @@ def parse_record(data, at: int) -> tuple[int, Record]:
     if data[at : at + 7] != b"WARC/1.":
         raise Broken("version line")
     end_line = data.find(b"\r\n", at, at + 64)
-    end_head = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    end_head = data.find(b"\r\n\r\n", at)
     if end_line < 0 or end_head < 0:
         raise Broken("header")
     fields = _fields(bytes(data[end_line + 2 : end_head]))
@@ -220,32 +220,41 @@ def _page(urn: str | None) -> int | None:
     return int(name) if name.lstrip("-").isdigit() else None
 
 
-def read_archives(spark: SparkSession, folder: str, files: list[str] | None = None) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, files: list[str] | None = None, whole: bool = False) -> DataFrame:
     """A row for each record of the archives and for each quarantined gap, whose
     ``gap`` is the failed check. ``files``: those of the manifest if not given;
-    it has one row for each file."""
-    files = files if files is not None else [r["file"] for r in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()]
-    listed = spark.createDataFrame([(json.dumps(f),) for f in files], "file string").repartition(max(1, len(files)))
+    it has one row for each file. ``whole``: a file of the manifest with gaps, or with
+    other than its number of records, is an error."""
+    wanted = {r["file"]: r["n_records"] for r in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()} if files is None or whole else {}
+    files = files if files is not None else list(wanted)
+    listed = spark.createDataFrame([(json.dumps([f, wanted.get(f) if whole else None]),) for f in files], "file string").repartition(max(1, len(files)))
     schema = arrow_schema(RECORDS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for spec in batch.column(0).to_pylist():
-                name, rows = json.loads(spec), []
+                (name, want), rows, n = json.loads(spec), [], 0
                 with tempfile.TemporaryDirectory() as own, open(as_local(f"{folder}/{name}", own), "rb") as f:
                     if not os.fstat(f.fileno()).st_size:
+                        if want:
+                            raise ValueError(f"{name}: empty, {want} records written")
                         continue
                     with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
                         for x in salvage(data):
                             if isinstance(x, tuple):
+                                if want is not None:
+                                    raise ValueError(f"{name}: gap at {x[0]}: {x[2]}")
                                 rows.append((name, x[0], x[1], x[2], *[None] * 5))
                             else:
+                                n += 1
                                 digest = base64.b32decode(x.fields["warc-payload-digest"].partition(":")[2]).hex() if "warc-payload-digest" in x.fields else None
                                 size = len(x.payload) if x.payload is not None else int(x.http.get("content-length", 0))
                                 rows.append((name, x.offset, x.end, None, _page(x.fields.get("warc-record-id")), size, digest, x.fields.get("warc-type"), _page(x.fields.get("warc-refers-to"))))
                             if len(rows) == 4096:
                                 yield arrow_batch(schema, list(zip(*rows, strict=True)))
                                 rows = []
+                if want is not None and n != want:
+                    raise ValueError(f"{name}: {n} records read, {want} written")
                 if rows:
                     yield arrow_batch(schema, list(zip(*rows, strict=True)))
 
@@ -253,9 +262,10 @@ def read_archives(spark: SparkSession, folder: str, files: list[str] | None = No
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back."""
-    records = read_archives(pages.sparkSession, write_archives(pages))
-    return records.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back.
+    Fails where what is read isn't all that was written."""
+    records = read_archives(pages.sparkSession, write_archives(pages), whole=True)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

@@ -5,6 +5,7 @@ import os
 import random
 import struct
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -185,3 +186,24 @@ def test_another_reader_sees_the_same_samples(spark):
         image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(media.write_gif(payload))))
         assert (image.getWidth(), image.getHeight()) == (64, n // 64)
         assert bytes(image.getRaster().getDataBuffer().getData()) == payload
+
+
+def test_warc_keeps_pages_of_very_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a/" + "x" * (1 << 21), "<p>"), (2, "http://b/", "<p>")], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.round_trip(pages).collect()) == [1, 2]
+
+
+def test_warc_round_trip_fails_on_missing_records(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(4)], "page_id long, url string, html string")
+    write = warc.write_archives
+
+    def damaged(pages):
+        folder = write(pages)
+        name = urlparse(folder).path + "/" + spark.read.parquet(f"{folder}/manifest").first()["file"]
+        with open(name, "r+b") as f:
+            f.truncate(os.path.getsize(name) - 20)
+        return folder
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="gap at"):
+        warc.round_trip(pages).collect()
