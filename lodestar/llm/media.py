@@ -341,24 +341,27 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(store, ddl), "media")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, mean_level double"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, mean_level double, histogram array<long>"
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Reads the stored GIFs back. ``feature`` is the colour histogram of all
-    samples in 64 bins of four grey levels, as per mille of the frame in
-    hexadecimal, three digits a bin."""
+    """Reads the stored GIFs back, as rendered: a frame's samples are the levels of
+    its part of the screen. ``feature`` is their histogram in 64 bins of four grey
+    levels, as per mille of the frame in hexadecimal, three digits a bin;
+    ``histogram`` is the colour histogram of those parts."""
 
     def read(batches):
         for batch in batches:
             rows = []
             for key, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, _, frames = parse_gif(data)
-                payload = b"".join(f.indices.astype(np.uint8).tobytes() for f in frames)
-                levels = np.concatenate([np.bincount(f.palette[:, 0], np.bincount(f.indices.ravel(), minlength=256), 256)[None] for f in frames]).sum(axis=0)
+                frames = read_gif(data)
+                shown = [f.canvas[f.top : f.top + f.height, f.left : f.left + f.width] for f in frames]
+                payload = b"".join(part[..., 0].tobytes() for part in shown)
+                levels = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+                colours = sum(map(colour_histogram, shown))
                 bins = levels.reshape(64, 4).sum(axis=1)
                 feature = "".join(f"{int(b):03x}" for b in np.rint(1000 * bins / len(payload)))
-                rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames), float(levels @ np.arange(256) / len(payload))))
+                rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames), float(levels @ np.arange(256) / len(payload)), colours.tolist()))
             yield arrow_batch(schema, list(zip(*rows, strict=True)) or [[]] * len(schema))
 
     schema = arrow_schema(DIGEST)

@@ -207,3 +207,13 @@ def test_warc_round_trip_fails_on_missing_records(spark, monkeypatch):
     monkeypatch.setattr(warc, "write_archives", damaged)
     with pytest.raises(Exception, match="gap at"):
         warc.round_trip(pages).collect()
+
+
+def test_media_digest_takes_rendered_frames(spark):
+    data = media.write_gif(bytes([16, 200] * 32))
+    at = 13 + len(media.GREYS)
+    data = data[:at] + b"\x21\xf9\x04\x01\x00\x00\x10\x00" + data[at:]  # 16 is transparent
+    df = spark.createDataFrame([(1, 64, data)], "doc_id long, n_bytes long, media binary")
+    r = media.media_digest(df).first()
+    assert r["payload_sha256"] == hashlib.sha256(bytes([0, 200] * 32)).hexdigest()
+    assert sum(r["histogram"]) == r["histogram"][63] == 32
