@@ -4,22 +4,28 @@ softmax, beside an add-one unigram base.
 Counts. Every token of every training text is counted; the sums are N, V and
 each token's c. All later stages use these counts.
 
-Classes. The SHORTLIST most frequent tokens form classes of CLASS_WORDS by
-rank. Other tokens that make up at least 1/HEAD of all tokens, so at most HEAD
-of them, form BANDS classes of equal mass. All the rest, unseen ones included,
-form the last class. P(token | history) = P(class | history) * P(token | class,
-history); inside a band or the last class the second factor is (c + 1) over the
-class's sum, so the model's probabilities add up to 1.
-
-Features of a history: the word before (n-gram), the one before that (skip),
-both together (n-gram), and the one three back (skip), hashed to ROWS rows; inside
-a class of the shortlist the first two, hashed to INNER rows.
-
-Training. All training texts give feature-by-class counts, whose damped log
-ratios are the initial weights. Then each of ROUNDS rounds is one distributed
-gradient update over all training texts: every task sums its texts' gradients at
-the current weights, the sums are added up by block of the model in streaming
-fashion, and each row moves by its gradient over its number of occurrences.
+Classes. Tokens that make up at least 1/HEAD of all training tokens, so at most
+HEAD of them, are the head; all the rest, unseen ones included, are one leaf. The
+leaves form a tree of classes within classes, FAN children to a class (Huffman's,
+by token mass, so a frequent token lies under few classes). P(token | history) is
+the product of softmax choices on the way from the root to the leaf, each of which
+depends on the history; inside the rest it goes on with (c + 1) over the rest's
+sum. So the model's probabilities add up to 1.
+
+Features of a history: the word before (n-gram), the one before that (skip);
+for the choice at the root also both together (n-gram) and the one three back
+(skip). A feature's weights at a class are a row of the table, found by hash. The
+table grows with the training tokens: the least power of two of rows that leaves
+at most ROW_TOKENS a row, between LEAST_ROWS and MOST_ROWS; the last bounds what
+is broadcast, at 64 MB. The counts grow without a bound, and are joined.
+
+Training. Each of 1 + ROUNDS rounds is one distributed gradient update over all
+training texts: every task sums, for every row and child, how often the model
+expects it at the current weights, and in the first round how often it occurs. The
+gradient is the difference of the two; a weight moves by RATE (FIRST_RATE in the
+first round, which starts from unigram rates) times the log ratio of the two, the
+step of iterative scaling, which has the gradient's sign and is bounded. The
+tasks' sums travel as 16-bit floats and are added up by block of the table.
 
 Scoring. Texts are scored in numpy batches; tokens outside the head go, once a
 text, through a join with the counts. A token there makes up less than 1/HEAD
@@ -33,6 +39,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 import uuid
 import zlib
@@ -48,13 +55,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, arrow_schema, stored, words_of
 
-HEAD, SHORTLIST, CLASS_WORDS, BANDS = 500_000, 512, 32, 3
-CLASSES = SHORTLIST // CLASS_WORDS + BANDS + 1
-LAST = CLASSES - 1
-ROWS, INNER, ROUNDS = 1 << 13, 1 << 10, 3
-PRIOR, DAMPING, RATE = 5.0, 0.5, 0.7
-#: Distinct tokens that a task counts before it passes them on; tokens in a numpy batch.
-FLUSH, BATCH = 200_000, 1 << 13
+HEAD, FAN = 500_000, 16
+ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 10, 1 << 16, 1 << 20
+ROUNDS, PRIOR, FIRST_RATE, RATE, MOST_WEIGHT = 3, 5.0, 0.5, 0.35, 12.0
+#: Distinct tokens that a task counts before it passes them on; tokens in a numpy
+#: batch; tokens whose sums are held in 32 bits before they join the 64-bit ones.
+FLUSH, BATCH, SETTLE = 200_000, 1 << 15, 1 << 19
 END = b""
 
 
@@ -77,10 +83,38 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def class_tree(weights: list[float]) -> tuple[list[tuple], np.ndarray]:
+    """Huffman's tree of FAN children a class over leaves of these weights: each
+    leaf's path as (class, child) from the root, class 0, down; and each class's log
+    rates of its children, absent ones at -1e4."""
+    n = len(weights)
+    heap = [(float(w), i) for i, w in enumerate(weights)] + [(0.0, -1 - i) for i in range((1 - n) % (FAN - 1))]
+    heapq.heapify(heap)
+    classes = []
+    while len(heap) > 1:
+        children = [heapq.heappop(heap) for _ in range(FAN)]
+        heapq.heappush(heap, (sum(w for w, _ in children), n + len(classes)))
+        classes.append(children)
+    rates, paths = np.full((len(classes), FAN), -1e4, np.float32), [()] * n
+    below = [()] * len(classes)
+    for at in range(len(classes)):  # the root was made last
+        children = classes[-1 - at]
+        total = sum(w for w, _ in children)
+        for child, (w, i) in enumerate(children):
+            path = (*below[at], (at, child))
+            if i >= 0:
+                rates[at, child] = np.log(w / total)
+                if i < n:
+                    paths[i] = path
+                else:
+                    below[len(classes) - 1 - (i - n)] = path
+    return paths, rates
+
+
 @dataclass
 class Model:
-    """tokens: the head by falling count. theta: class weights by hashed row;
-    phi: shortlist weights by hashed inner row; the last row of each is a bias."""
+    """tokens: the head by falling count. weights: a row of FAN for each hashed
+    (feature, class)."""
 
     tokens: list[bytes]
     counts: np.ndarray
@@ -88,26 +122,23 @@ class Model:
     distinct: int
     rest_total: int
     rest_distinct: int
-    theta: np.ndarray = field(default_factory=lambda: np.zeros((ROWS + 1, CLASSES), np.float32))
-    phi: np.ndarray = field(default_factory=lambda: np.zeros((INNER + 1, SHORTLIST), np.float32))
+    rows: int = LEAST_ROWS
+    weights: np.ndarray = field(init=False)
 
     def __post_init__(self):
         n = len(self.tokens)
-        self.rare, self.start, self.short = n, n + 1, min(SHORTLIST, n)
+        self.rare, self.start = n, n + 1
         self.ids = {t: i for i, t in enumerate(self.tokens)}
-        rank = np.arange(n)
-        bands = np.zeros(n, np.int64)
-        if n > SHORTLIST:
-            mass = np.cumsum(self.counts[SHORTLIST:])
-            bands[SHORTLIST:] = np.minimum((mass - 1) * BANDS // mass[-1], BANDS - 1)
-        self.class_of = np.append(np.where(rank < SHORTLIST, rank // CLASS_WORDS, SHORTLIST // CLASS_WORDS + bands), LAST)
         self.log_count = np.append(np.log10(self.counts + 1.0), 0.0)
-        sums = np.bincount(self.class_of[:n], self.counts + 1.0, CLASSES)
         self.log_rest = float(np.log10(self.rest_total + self.rest_distinct + 1))
-        # Base-10 log probability inside the class; the shortlist's comes from phi, the last class's from the counts.
-        inside = np.where(rank < SHORTLIST, 0.0, self.log_count[:n] - np.log10(np.maximum(sums[self.class_of[:n]], 1)))
-        self.inside = np.append(inside, -self.log_rest)
-        self.words_in = np.minimum(CLASS_WORDS, np.maximum(0, min(n, SHORTLIST) - CLASS_WORDS * np.arange(SHORTLIST // CLASS_WORDS)))
+        paths, self.rates = class_tree([*(self.counts + 1.0), self.rest_total + self.rest_distinct + 1.0])
+        self.depth = np.array([len(p) for p in paths])
+        # (class, child) of each leaf by depth.
+        self.classes, self.children = (np.zeros((self.depth.max(), n + 1), np.int32) for _ in range(2))
+        for leaf, path in enumerate(paths):
+            for d, (at, child) in enumerate(path):
+                self.classes[d, leaf], self.children[d, leaf] = at, child
+        self.weights = np.zeros((self.rows, FAN), np.float32)
 
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Head ids of the texts' words and end tokens, each text led by three
@@ -118,118 +149,54 @@ class Model:
         ids = np.array(out, np.int64)
         return ids, ids != self.start
 
-    def histories(self, ids: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a, b, c = (ids[at - k].astype(np.uint64) for k in (1, 2, 3))
-
-        def row(key: np.ndarray, salt: int, bits: int) -> np.ndarray:
-            return (((key + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-        bits, inner = ROWS.bit_length() - 1, INNER.bit_length() - 1
+    def features(self, ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Numbers of each history's features, the two of every class first."""
+        a, b, c = (ids[at - k].astype(np.uint64) + np.uint64(1) for k in (1, 2, 3))
         both = a * np.uint64(1 << 21) + b
-        outer = [row(a, 1 << 44, bits), row(b, 2 << 44, bits), row(both, 3 << 44, bits), row(c, 4 << 44, bits), np.full(len(at), ROWS)]
-        return outer, [row(a, 5 << 44, inner), row(b, 6 << 44, inner), np.full(len(at), INNER)]
-
-    def class_scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.theta[rows[0]]
-        for r in rows[1:]:
-            z += self.theta[r]
-        z -= z.max(axis=1, keepdims=True)
-        return z
-
-    def word_scores(self, rows: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
-        """Scores of the words of each history's own class; absent ones -inf."""
-        table = self.phi.reshape(-1, CLASS_WORDS)
-        per = SHORTLIST // CLASS_WORDS
-        z = table[rows[0] * per + classes]
-        for r in rows[1:]:
-            z += table[r * per + classes]
-        if self.words_in[-1] < CLASS_WORDS:
-            z[np.arange(CLASS_WORDS) >= self.words_in[classes][:, None]] = -np.inf
-        z -= z.max(axis=1, keepdims=True)
-        return z
+        salted = ((a, 0x9E3779B97F4A7C15, 0), (b, 0xC2B2AE3D27D4EB4F, 1), (both, 0xD6E8FEB86659FD93, 2), (c, 0xA0761D6478BD642F, 3))
+        return [key * np.uint64(factor) + np.uint64(salt << 40) for key, factor, salt in salted]
+
+    def choices(self, ids: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """The choices that the tokens at ``at`` are made of, a depth at a time:
+        (which tokens, chosen child, rows of the table, scores, their exponentials and
+        these's sums). Weights are bounded, so the exponentials are as well."""
+        token, features, own = ids[at], self.features(ids, at), np.arange(len(at))
+        shift, ones = np.uint64(65 - self.rows.bit_length()), np.ones(FAN, np.float32)
+        for d in range(len(self.classes)):
+            own = own[self.depth[token[own]] > d]
+            if not len(own):
+                return
+            classes = self.classes[d][token[own]]
+            salt = classes.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+            rows = [(((f[own] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) for f in (features if d == 0 else features[:2])]
+            scores = self.rates.take(classes, axis=0)
+            buffer = np.empty_like(scores)
+            for r in rows:
+                scores += self.weights.take(r, axis=0, out=buffer, mode="clip")
+            powers = np.exp(scores)
+            yield own, self.children[d][token[own]], rows, scores, powers, powers @ ones
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability; for a token of the last class
-        without its own log10(c + 1), which the join adds."""
-        outer, inner = self.histories(ids, at)
-        token = ids[at]
-        y = self.class_of[token]
-        z = self.class_scores(outer)
-        out = z[np.arange(len(at)), y] - np.log(np.exp(z).sum(axis=1))
-        short = np.flatnonzero(token < self.short)
-        if len(short):
-            w = self.word_scores([r[short] for r in inner], y[short])
-            out[short] += w[np.arange(len(short)), token[short] % CLASS_WORDS] - np.log(np.exp(w).sum(axis=1))
-        return out / np.log(10) + self.inside[token]
-
-    def add_counts(self, ids, at, g, h) -> None:
-        """Adds how often each class, and each word of the shortlist, follows each row."""
-        outer, inner = self.histories(ids, at)
-        token = ids[at]
-        y = self.class_of[token]
-        for r in outer:
-            g += np.bincount(r * CLASSES + y, minlength=g.size).reshape(g.shape)
-        short = np.flatnonzero(token < self.short)
-        for r in inner:
-            h += np.bincount(r[short] * SHORTLIST + token[short], minlength=h.size).reshape(h.shape)
-
-    def add_gradients(self, ids, at, g, h, n, m) -> None:
-        """Adds gradients, and to ``n`` and ``m`` how often each row and each
-        (inner row, class) occurs."""
-        outer, inner = self.histories(ids, at)
-        token = ids[at]
-        y = self.class_of[token]
-        p = np.exp(self.class_scores(outer))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(at)), y] -= 1
-        _scatter(g, outer, p)
-        for r in outer:
-            n += np.bincount(r, minlength=len(n))
-        short = np.flatnonzero(token < self.short)
-        if len(short):
-            rows, classes = [r[short] for r in inner], y[short]
-            q = np.exp(self.word_scores(rows, classes))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(short)), token[short] % CLASS_WORDS] -= 1
-            per = SHORTLIST // CLASS_WORDS
-            keys = [r * per + classes for r in rows]
-            _scatter(h.reshape(-1, CLASS_WORDS), keys, q)
-            for k in keys:
-                m += np.bincount(k, minlength=m.size)
-
-    def start_from(self, g: np.ndarray, h: np.ndarray) -> None:
-        """Initial weights: log ratios of smoothed conditional to marginal rates."""
-        p = (g[ROWS] + 1e-3) / (g[ROWS] + 1e-3).sum()
-        rate = (g + PRIOR * p) / (g.sum(axis=1, keepdims=True) + PRIOR)
-        self.theta = (DAMPING * np.log(rate / p)).astype(np.float32)
-        self.theta[ROWS] = np.log(p)
-        absent = np.bincount(self.class_of, minlength=CLASSES) == 0
-        self.theta[:, absent] = 0
-        self.theta[ROWS, absent] = -1e4
-        blocks = h.reshape(len(h), -1, CLASS_WORDS)
-        q = (blocks[INNER] + 1e-3) / (blocks[INNER] + 1e-3).sum(axis=1, keepdims=True)
-        rate = (blocks + PRIOR * q) / (blocks.sum(axis=2, keepdims=True) + PRIOR)
-        phi = DAMPING * np.log(rate / q)
-        phi[INNER] = np.log(q)
-        self.phi = phi.reshape(len(h), SHORTLIST).astype(np.float32)
-
-    def step(self, g: np.ndarray, h: np.ndarray, n: np.ndarray, m: np.ndarray) -> None:
-        self.theta = self.theta - (RATE * g / (n[:, None] + PRIOR)).astype(np.float32)
-        move = h.reshape(len(m), CLASS_WORDS) / (m[:, None] + PRIOR)
-        self.phi = self.phi - (RATE * move).reshape(self.phi.shape).astype(np.float32)
-
-
-def _scatter(total: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> None:
-    """total[r[i]] += values[i] for each of ``rows``: sorted by row, summed in
-    runs. Row numbers fit 16 bits, which numpy sorts by radix."""
-    for r in rows:
-        if (r == r[0]).all():
-            total[r[0]] += values.sum(axis=0)
-            continue
-        order = np.argsort(r.astype(np.uint16), kind="stable")
-        own = r[order]
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        total[own[starts]] += np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
+        """log10 of each token's probability; for a token of the rest without its
+        own log10(c + 1), which the join adds."""
+        out = np.zeros(len(at))
+        for own, child, _, scores, _, sums in self.choices(ids, at):
+            out[own] += scores[np.arange(len(own)), child] - np.log(sums)
+        return out / np.log(10) - np.where(ids[at] == self.rare, self.log_rest, 0.0)
+
+    def add_sums(self, ids: np.ndarray, at: np.ndarray, expected: np.ndarray, occurring: np.ndarray | None) -> None:
+        """Adds how often each child is expected at each row and, if asked, occurs."""
+        for _, child, rows, _, powers, sums in self.choices(ids, at):
+            powers /= sums[:, None]
+            for r in rows:
+                first = r * FAN
+                np.add.at(expected, (first[:, None] + np.arange(FAN)).ravel(), powers.ravel())
+                if occurring is not None:
+                    np.add.at(occurring, first + child, np.float32(1))
+
+    def step(self, occurring: np.ndarray, expected: np.ndarray, rate: float) -> None:
+        move = rate * np.log((occurring + PRIOR) / (expected + PRIOR))
+        self.weights = np.clip(self.weights + move.reshape(self.weights.shape), -MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
 
 
 def blocks_of(texts: Iterator[list[bytes]], size: int = BATCH) -> Iterator[list[list[bytes]]]:
@@ -263,7 +230,7 @@ def _model(shared) -> Model:
 
 
 class _Shared:
-    """A broadcast model. Its size is bounded by HEAD, ROWS and INNER."""
+    """A broadcast model. Its size is bounded by HEAD and MOST_ROWS."""
 
     def __init__(self, spark, model: Model):
         self.id = uuid.uuid4().hex
@@ -277,39 +244,62 @@ class _Shared:
 PARTS = 32
 
 
-def _gather(docs: DataFrame, shared: _Shared, counting: bool) -> list[np.ndarray]:
-    """The tasks' sums over ``docs`` added up: [g, h] or [g, h, n, m]."""
+def _short(x: np.ndarray) -> bytes:
+    """Floats rounded to their upper 16 bits, packed."""
+    bits = x.astype(np.float32).view(np.uint32)
+    return zlib.compress(((bits + 0x8000) >> 16).astype(np.uint16).tobytes(), 1)
+
+
+def _long(data: bytes) -> np.ndarray:
+    return (np.frombuffer(zlib.decompress(data), np.uint16).astype(np.uint32) << 16).view(np.float32).astype(np.float64)
+
+
+def _gather(docs: DataFrame, shared: _Shared, first: bool, rows: int) -> list[np.ndarray]:
+    """The tasks' sums over ``docs`` added up: expected and, in the first round, occurring."""
     ddl = "part int, data binary"
     schema = arrow_schema(ddl)
-    shapes = [(ROWS + 1, CLASSES), (INNER + 1, SHORTLIST)]
-    if not counting:
-        shapes += [(ROWS + 1,), ((INNER + 1) * SHORTLIST // CLASS_WORDS,)]
-    sizes = [int(np.prod(s)) for s in shapes]
+    kinds, size = 1 + first, rows * FAN
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, totals = _model(shared), [np.zeros(s) for s in shapes]
+        model = _model(shared)
+        totals, held, n = [np.zeros(size) for _ in range(kinds)], [np.zeros(size, np.float32) for _ in range(kinds)], 0
+
+        def settle() -> None:
+            for total, some in zip(totals, held, strict=True):
+                total += some
+                some[:] = 0
+
         texts = (words_of(t) for b in batches for t in b.column(0).to_pylist())
-        size = 16 * BATCH if counting else BATCH
-        for part in blocks_of(texts, size):
+        for part in blocks_of(texts):
             ids, marked = model.encode(part)
-            for at in _pieces(marked, size):
-                (model.add_counts if counting else model.add_gradients)(ids, at, *totals)
-        flat = np.concatenate([t.ravel() for t in totals]).astype(np.float32)
-        cut = np.array_split(flat, PARTS)
-        yield arrow_batch(schema, [list(range(PARTS)), [zlib.compress(c.tobytes(), 1) for c in cut]])
+            for at in _pieces(marked):
+                model.add_sums(ids, at, held[0], held[1] if first else None)
+                n += len(at)
+                if n > SETTLE:
+                    settle()
+                    n = 0
+        settle()
+        cut = np.array_split(np.concatenate(totals), PARTS)
+        yield arrow_batch(schema, [list(range(PARTS)), [_short(c) for c in cut]])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(data), np.float32).astype(np.float64)
+                x = _long(data)
                 held[k] = held[k] + x if k in held else x
         if held:
-            yield arrow_batch(schema, [list(held), [v.tobytes() for v in held.values()]])
+            yield arrow_batch(schema, [list(held), [v.astype(np.float32).tobytes() for v in held.values()]])
+
+    found = docs.select("text").mapInArrow(sums, ddl).repartition(PARTS, "part").mapInArrow(added, ddl).collect()
+    flat = np.concatenate([np.frombuffer(bytes(r["data"]), np.float32) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(kinds * size)
+    return np.split(flat, kinds)
+
 
-    rows = docs.select("text").mapInArrow(sums, ddl).repartition(PARTS, "part").mapInArrow(added, ddl).collect()
-    flat = np.concatenate([np.frombuffer(bytes(r["data"])) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(sum(sizes))
-    return [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes, strict=True)]
+def table_rows(tokens: int) -> int:
+    """Rows of the weight table for so many training tokens."""
+    wanted = -(-tokens // ROW_TOKENS)
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, wanted - 1).bit_length()))
 
 
 def train(docs: DataFrame, held_out: Column) -> tuple[Model, DataFrame]:
@@ -323,10 +313,11 @@ def train(docs: DataFrame, held_out: Column) -> tuple[Model, DataFrame]:
     head = counts.where(F.col("c") * HEAD >= total).collect()
     head.sort(key=lambda r: (-r["c"], bytes(r["token"])))
     c = np.array([r["c"] for r in head], np.float64)
-    model = Model([bytes(r["token"]) for r in head], c, total, distinct, int(total - c.sum()), distinct - len(head))
-    model.start_from(*_gather(own, _Shared(spark, model), True))
+    model = Model([bytes(r["token"]) for r in head], c, total, distinct, int(total - c.sum()), distinct - len(head), table_rows(total))
+    expected, occurring = _gather(own, _Shared(spark, model), True, model.rows)
+    model.step(occurring, expected, FIRST_RATE)
     for _ in range(ROUNDS):
-        model.step(*_gather(own, _Shared(spark, model), False))
+        model.step(occurring, *_gather(own, _Shared(spark, model), False, model.rows), RATE)
     return model, counts
 
 

@@ -133,40 +133,112 @@ def test_base_scores_and_counts(spark, monkeypatch):
     assert sum(got[i]["score"] for i in own) > sum(got[i]["base_score"] for i in own)
 
 
-def test_model_probabilities_add_up_to_one():
-    rng = np.random.default_rng(2)
+def small_model(rng, rows=1 << 16):
     tokens = [b"", *(b"t%d" % i for i in range(899))]
     counts = np.sort(rng.zipf(1.5, 900).clip(3, 5000))[::-1].astype(float)
-    model = lm.Model(tokens, counts, int(counts.sum()) + 50, 930, 50, 30)
-    model.theta += rng.normal(0, 0.3, model.theta.shape).astype(np.float32)
-    model.phi += rng.normal(0, 0.3, model.phi.shape).astype(np.float32)
+    model = lm.Model(tokens, counts, int(counts.sum()) + 50, 930, 50, 30, rows)
+    model.weights += rng.normal(0, 0.3, model.weights.shape).astype(np.float32)
+    return model
+
+
+def test_model_probabilities_add_up_to_one():
+    model = small_model(np.random.default_rng(2))
     history = [model.start, model.start, 5, 700]
     at = np.array([4])
     total = 0.0
-    for token in range(len(tokens)):
+    for token in range(len(model.tokens)):
         total += 10 ** model.log_probabilities(np.array([*history, token]), at)[0]
     rest = 10 ** model.log_probabilities(np.array([*history, model.rare]), at)[0]
     assert total + rest * (50 + 30) + rest == pytest.approx(1, abs=1e-4)  # seen rare tokens, and one unseen
 
 
+def test_unigram_rates_before_training():
+    model = small_model(np.random.default_rng(4))
+    model.weights[:] = 0
+    ids = np.array([model.start] * 3 + [0, 7, 500, model.rare])
+    got = model.log_probabilities(ids, np.arange(3, 7))
+    whole = model.counts.sum() + len(model.tokens) + 81
+    assert got == pytest.approx([*(math.log10((model.counts[i] + 1) / whole) for i in (0, 7, 500)), math.log10(1 / whole)], abs=1e-5)
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(3)
-    tokens = [b"", *(b"t%d" % i for i in range(599))]
-    model = lm.Model(tokens, np.linspace(900, 20, 600), 400_000, 700, 3000, 100)
-    model.theta, model.phi = model.theta.astype(float), model.phi.astype(float)
-    ids = np.concatenate([[model.start] * 2, rng.integers(0, 601, 40)])
-    at = np.arange(2, len(ids))
-    g, h = np.zeros(model.theta.shape), np.zeros(model.phi.shape)
-    model.add_gradients(ids, at, g, h, np.zeros(lm.ROWS + 1), np.zeros((lm.INNER + 1) * lm.SHORTLIST // lm.CLASS_WORDS))
+    model = small_model(rng, 1 << 8)  # rows are shared by many features
+    model.weights = model.weights.astype(np.float64)
+    ids = np.concatenate([[model.start] * 3, rng.integers(0, 901, 40)])
+    ids[ids == model.start] = model.rare
+    ids[:3] = model.start
+    at = np.arange(3, len(ids))
+    expected, occurring = (np.zeros(model.weights.size, np.float32) for _ in range(2))
+    model.add_sums(ids, at, expected, occurring)
+    gradient = (expected - occurring).reshape(model.weights.shape)
     loss = lambda: -model.log_probabilities(ids, at).sum() * np.log(10)
-    for table, gradient in ((model.theta, g), (model.phi, h)):
-        for k in rng.choice(np.flatnonzero(gradient), 12):
-            place = np.unravel_index(k, table.shape)
-            table[place] += 1e-4
-            up = loss()
-            table[place] -= 2e-4
-            assert gradient[place] == pytest.approx((up - loss()) / 2e-4, abs=1e-3)
-            table[place] += 1e-4
+    for k in rng.choice(np.flatnonzero(gradient), 12):
+        place = np.unravel_index(k, gradient.shape)
+        model.weights[place] += 0.01
+        up = loss()
+        model.weights[place] -= 0.02
+        assert gradient[place] == pytest.approx((up - loss()) / 0.02, abs=2e-2)
+        model.weights[place] += 0.01
+
+
+def plain_scores(texts: dict, held: dict, head: int, rows: int) -> dict:
+    """The whole model again with dicts and loops: training and scores."""
+    tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t in texts.items()}
+    c = Counter(t for i, ts in tokens.items() if not held[i] for t in ts)
+    total = sum(c.values())
+    order = sorted((t for t in c if c[t] * head >= total), key=lambda t: (-c[t], t))
+    number = {t: k for k, t in enumerate(order)}
+    rest = sum(c[t] + 1 for t in c if t not in number) + 1
+    paths, rates = lm.class_tree([*(c[t] + 1.0 for t in order), float(rest)])
+    cut = (1 << 64) - 1
+
+    def choices(ts):
+        ids = [len(order) + 1] * 3 + [number.get(t, len(order)) for t in ts]
+        for k in range(3, len(ids)):
+            a, b, d = (ids[k - x] + 1 for x in (1, 2, 3))
+            every = [a * 0x9E3779B97F4A7C15, b * 0xC2B2AE3D27D4EB4F + (1 << 40), (a * (1 << 21) + b) * 0xD6E8FEB86659FD93 + (2 << 40), d * 0xA0761D6478BD642F + (3 << 40)]
+            for depth, (at, child) in enumerate(paths[ids[k]]):
+                own = every if depth == 0 else every[:2]
+                yield k - 3, at, child, [(((f & cut ^ at * 0xE7037ED1A0B428DB & cut) * 0x9E3779B97F4A7C15) & cut) * rows >> 64 for f in own]
+
+    weights = {}
+
+    def chances(at, at_rows):
+        z = [math.exp(rates[at, j] + sum(weights.get((r, j), 0.0) for r in at_rows)) for j in range(lm.FAN)]
+        return [x / sum(z) for x in z]
+
+    for step in range(1 + lm.ROUNDS):
+        expected, occurring = Counter(), Counter()
+        for i, ts in tokens.items():
+            if not held[i]:
+                for _, at, child, at_rows in choices(ts):
+                    p = chances(at, at_rows)
+                    for r in at_rows:
+                        occurring[r, child] += 1
+                        for j in range(lm.FAN):
+                            expected[r, j] += p[j]
+        for k in expected | occurring:
+            weights[k] = weights.get(k, 0.0) + (lm.RATE if step else lm.FIRST_RATE) * math.log((occurring[k] + lm.PRIOR) / (expected[k] + lm.PRIOR))
+    out = {}
+    for i, ts in tokens.items():
+        found = sum(math.log10(chances(at, at_rows)[child]) for _, at, child, at_rows in choices(ts))
+        out[i] = found + sum(math.log10((c[t] + 1) / rest) for t in ts if t not in number)
+    return out
+
+
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 300)
+    texts = {i: t for i, t in texts_for_lm(40).items() if i != 904}
+    df = spark.createDataFrame([(i, t, 0, 0.0) for i, t in texts.items()], DOCS)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    want = plain_scores(texts, held, 300, lm.LEAST_ROWS)
+    got = {r["doc_id"]: r["score"] for r in lm.report(df, remainder(F.col("doc_id"), 7) == 2).collect()}
+    assert got == {i: pytest.approx(s, rel=2e-3) for i, s in want.items()}  # sums travel as 16-bit floats
+
+
+def test_the_table_grows_with_the_tokens():
+    assert [lm.table_rows(n) for n in (0, 10**7, 10**8, 10**9, 10**13)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20, 1 << 20]
 
 
 def test_lm_edges(spark):
@@ -178,12 +250,12 @@ def test_lm_edges(spark):
     assert lm.report(df.limit(0), F.lit(False)).count() == 0
 
 
-def test_all_training_texts_reach_the_counts_and_every_round(spark, monkeypatch):
+def test_all_training_texts_reach_every_round(spark, monkeypatch):
     seen, gather = [], lm._gather
-    monkeypatch.setattr(lm, "_gather", lambda docs, shared, counting: (seen.append((counting, docs.count())), gather(docs, shared, counting))[1])
+    monkeypatch.setattr(lm, "_gather", lambda docs, shared, first, rows: (seen.append((first, docs.count())), gather(docs, shared, first, rows))[1])
     df = spark.createDataFrame([(i, f"a b c w{i % 5}") for i in range(40)], "doc_id long, text string")
     lm.train(df, F.col("doc_id") < 8)
-    assert seen == [(True, 32)] + [(False, 32)] * 3
+    assert seen == [(True, 32)] + [(False, 32)] * lm.ROUNDS
 
 
 def test_the_word_three_back_is_a_feature():
@@ -191,5 +263,5 @@ def test_the_word_three_back_is_a_feature():
     rows = []
     for first in (b"x", b"y"):
         ids, marked = model.encode([[first, b"a", b"b", b"a"]])
-        rows.append([int(r[3]) for r in model.histories(ids, np.flatnonzero(marked))[0]])
+        rows.append([int(f[3]) for f in model.features(ids, np.flatnonzero(marked))])
     assert sum(a != b for a, b in zip(*rows, strict=True)) == 1
