@@ -24,8 +24,8 @@ training texts: every task sums, for every row and child, how often the model
 expects it at the current weights, and in the first round how often it occurs. The
 gradient is the difference of the two; a weight moves by RATE (FIRST_RATE in the
 first round, which starts from unigram rates) times the log ratio of the two, the
-step of iterative scaling, which has the gradient's sign and is bounded. The
-tasks' sums travel as 16-bit floats and are added up by block of the table.
+step of iterative scaling, which has the gradient's sign and is bounded. Rounds
+read the head ids of the texts, stored once, and not the texts. The tasks' sums travel as 16-bit floats and are added up by block of the table.
 
 Scoring. Texts are scored in numpy batches; tokens outside the head go, once a
 text, through a join with the counts. A token there makes up less than 1/HEAD
@@ -39,6 +39,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import pickle
 import uuid
@@ -55,8 +56,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, arrow_schema, stored, words_of
 
-HEAD, FAN = 500_000, 16
-ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 10, 1 << 16, 1 << 20
+HEAD, FAN = 500_000, 8
+ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 9, 1 << 17, 1 << 21
 ROUNDS, PRIOR, FIRST_RATE, RATE, MOST_WEIGHT = 3, 5.0, 0.5, 0.35, 12.0
 #: Distinct tokens that a task counts before it passes them on; tokens in a numpy
 #: batch; tokens whose sums are held in 32 bits before they join the 64-bit ones.
@@ -159,22 +160,27 @@ class Model:
     def choices(self, ids: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
         """The choices that the tokens at ``at`` are made of, a depth at a time:
         (which tokens, chosen child, rows of the table, scores, their exponentials and
-        these's sums). Weights are bounded, so the exponentials are as well."""
+        these's sums). Weights are bounded, so the exponentials are as well. Sums go
+        without the linear algebra library, whose threads would crowd a worker's core."""
         token, features, own = ids[at], self.features(ids, at), np.arange(len(at))
-        shift, ones = np.uint64(65 - self.rows.bit_length()), np.ones(FAN, np.float32)
+        shift = np.uint64(65 - self.rows.bit_length())
         for d in range(len(self.classes)):
-            own = own[self.depth[token[own]] > d]
-            if not len(own):
+            deeper = np.flatnonzero(self.depth[token] > d)
+            if not len(deeper):
                 return
-            classes = self.classes[d][token[own]]
+            if len(deeper) < len(token):
+                token, own = token[deeper], own[deeper]
+                features = [f[deeper] for f in features]
+            classes = self.classes[d][token]
             salt = classes.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
-            rows = [(((f[own] ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) for f in (features if d == 0 else features[:2])]
+            rows = [(((f ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> shift).view(np.int64) for f in features]
             scores = self.rates.take(classes, axis=0)
             buffer = np.empty_like(scores)
             for r in rows:
                 scores += self.weights.take(r, axis=0, out=buffer, mode="clip")
-            powers = np.exp(scores)
-            yield own, self.children[d][token[own]], rows, scores, powers, powers @ ones
+            powers = np.exp(scores, out=buffer)
+            yield own, self.children[d][token], rows, scores, powers, np.einsum("ij->i", powers)
+            features = features[:2]
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 of each token's probability; for a token of the rest without its
@@ -186,13 +192,16 @@ class Model:
 
     def add_sums(self, ids: np.ndarray, at: np.ndarray, expected: np.ndarray, occurring: np.ndarray | None) -> None:
         """Adds how often each child is expected at each row and, if asked, occurs."""
+        pairs, steps = expected.view(np.complex64), np.arange(FAN // 2)  # two 32-bit floats are added at a time
+        places = np.empty((len(at), len(steps)), np.int64)
         for _, child, rows, _, powers, sums in self.choices(ids, at):
             powers /= sums[:, None]
+            added, index = powers.reshape(-1).view(np.complex64), places[: len(child)]
             for r in rows:
-                first = r * FAN
-                np.add.at(expected, (first[:, None] + np.arange(FAN)).ravel(), powers.ravel())
+                np.add((r * len(steps))[:, None], steps, out=index)
+                np.add.at(pairs, index.reshape(-1), added)
                 if occurring is not None:
-                    np.add.at(occurring, first + child, np.float32(1))
+                    np.add.at(occurring, r * FAN + child, np.float32(1))
 
     def step(self, occurring: np.ndarray, expected: np.ndarray, rate: float) -> None:
         move = rate * np.log((occurring + PRIOR) / (expected + PRIOR))
@@ -230,17 +239,34 @@ def _model(shared) -> Model:
 
 
 class _Shared:
-    """A broadcast model. Its size is bounded by HEAD and MOST_ROWS."""
+    """A broadcast model, without its words if they aren't needed. Its size is
+    bounded by HEAD and MOST_ROWS."""
 
-    def __init__(self, spark, model: Model):
+    def __init__(self, spark, model: Model, words: bool = True):
+        sent = copy.copy(model)
+        if not words:
+            sent.tokens, sent.ids = [], {}
         self.id = uuid.uuid4().hex
-        self.held = spark.sparkContext.broadcast((self.id, zlib.compress(pickle.dumps(model), 1)))
+        self.held = spark.sparkContext.broadcast((self.id, zlib.compress(pickle.dumps(sent), 1)))
 
     @property
     def value(self):
         return self.held.value
 
 
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """A stored table of the texts' head ids, as ``encode`` gives them, in blocks
+    of whole texts: every round reads these instead of the texts."""
+    shared, schema = _Shared(docs.sparkSession, model), arrow_schema("ids binary")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(shared)
+        for part in blocks_of(words_of(t) for b in batches for t in b.column(0).to_pylist()):
+            yield arrow_batch(schema, [[m.encode(part)[0].astype(np.int32).tobytes()]])
+
+    return stored(docs.select("text").mapInArrow(each, "ids binary"), "token-ids", "zstd")
+
+
 PARTS = 32
 
 
@@ -254,8 +280,9 @@ def _long(data: bytes) -> np.ndarray:
     return (np.frombuffer(zlib.decompress(data), np.uint16).astype(np.uint32) << 16).view(np.float32).astype(np.float64)
 
 
-def _gather(docs: DataFrame, shared: _Shared, first: bool, rows: int) -> list[np.ndarray]:
-    """The tasks' sums over ``docs`` added up: expected and, in the first round, occurring."""
+def _gather(ids: DataFrame, shared: _Shared, first: bool, rows: int) -> list[np.ndarray]:
+    """The tasks' sums over the ``encoded`` texts added up: expected and, in the
+    first round, occurring."""
     ddl = "part int, data binary"
     schema = arrow_schema(ddl)
     kinds, size = 1 + first, rows * FAN
@@ -269,11 +296,10 @@ def _gather(docs: DataFrame, shared: _Shared, first: bool, rows: int) -> list[np
                 total += some
                 some[:] = 0
 
-        texts = (words_of(t) for b in batches for t in b.column(0).to_pylist())
-        for part in blocks_of(texts):
-            ids, marked = model.encode(part)
-            for at in _pieces(marked):
-                model.add_sums(ids, at, held[0], held[1] if first else None)
+        for data in (x for b in batches for x in b.column(0)):
+            own = np.frombuffer(data.as_buffer(), np.int32)
+            for at in _pieces(own != model.start):
+                model.add_sums(own, at, held[0], held[1] if first else None)
                 n += len(at)
                 if n > SETTLE:
                     settle()
@@ -291,7 +317,7 @@ def _gather(docs: DataFrame, shared: _Shared, first: bool, rows: int) -> list[np
         if held:
             yield arrow_batch(schema, [list(held), [v.astype(np.float32).tobytes() for v in held.values()]])
 
-    found = docs.select("text").mapInArrow(sums, ddl).repartition(PARTS, "part").mapInArrow(added, ddl).collect()
+    found = ids.mapInArrow(sums, ddl).repartition(PARTS, "part").mapInArrow(added, ddl).collect()
     flat = np.concatenate([np.frombuffer(bytes(r["data"]), np.float32) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(kinds * size)
     return np.split(flat, kinds)
 
@@ -314,10 +340,11 @@ def train(docs: DataFrame, held_out: Column) -> tuple[Model, DataFrame]:
     head.sort(key=lambda r: (-r["c"], bytes(r["token"])))
     c = np.array([r["c"] for r in head], np.float64)
     model = Model([bytes(r["token"]) for r in head], c, total, distinct, int(total - c.sum()), distinct - len(head), table_rows(total))
-    expected, occurring = _gather(own, _Shared(spark, model), True, model.rows)
+    ids = encoded(own, model)
+    expected, occurring = _gather(ids, _Shared(spark, model, words=False), True, model.rows)
     model.step(occurring, expected, FIRST_RATE)
     for _ in range(ROUNDS):
-        model.step(occurring, *_gather(own, _Shared(spark, model), False, model.rows), RATE)
+        model.step(occurring, *_gather(ids, _Shared(spark, model, words=False), False, model.rows), RATE)
     return model, counts
 
 

@@ -238,7 +238,7 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
 
 
 def test_the_table_grows_with_the_tokens():
-    assert [lm.table_rows(n) for n in (0, 10**7, 10**8, 10**9, 10**13)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20, 1 << 20]
+    assert [lm.table_rows(n) for n in (0, 10**7, 10**8, 10**9, 10**13)] == [1 << 17, 1 << 17, 1 << 18, 1 << 21, 1 << 21]
 
 
 def test_lm_edges(spark):
@@ -252,10 +252,11 @@ def test_lm_edges(spark):
 
 def test_all_training_texts_reach_every_round(spark, monkeypatch):
     seen, gather = [], lm._gather
-    monkeypatch.setattr(lm, "_gather", lambda docs, shared, first, rows: (seen.append((first, docs.count())), gather(docs, shared, first, rows))[1])
-    df = spark.createDataFrame([(i, f"a b c w{i % 5}") for i in range(40)], "doc_id long, text string")
+    tokens = lambda ids: sum(int((np.frombuffer(r["ids"], np.int32)[3:] >= 0).sum()) for r in ids.collect())
+    monkeypatch.setattr(lm, "_gather", lambda ids, shared, first, rows: (seen.append((first, tokens(ids))), gather(ids, shared, first, rows))[1])
+    df = spark.createDataFrame([(i, f"a b c w{i % 5}") for i in range(40)], "doc_id long, text string").coalesce(1)
     lm.train(df, F.col("doc_id") < 8)
-    assert seen == [(True, 32)] + [(False, 32)] * lm.ROUNDS
+    assert seen == [(True, 32 * 8 - 3)] + [(False, 32 * 8 - 3)] * lm.ROUNDS  # four words, the end and three marks of each text
 
 
 def test_the_word_three_back_is_a_feature():
