@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, arrow_schema, stored, words_of
 
-HEAD, FAN = 500_000, 8
+HEAD, FAN = 1_000_000, 8
 ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 9, 1 << 17, 1 << 21
 ROUNDS, PRIOR, FIRST_RATE, RATE, MOST_WEIGHT = 3, 5.0, 0.5, 0.35, 12.0
 #: Distinct tokens that a task counts before it passes them on; tokens in a numpy
