@@ -126,14 +126,14 @@ def arrow_batch(schema, columns: list):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000, total: int | None = None) -> DataFrame:
     """Left join of ``rows`` to ``groups`` (one row a key, ``size`` its rows).
 
     At most ``share`` groups can hold 1/share of all rows each: these are joined
     by broadcast, so however large a group is, it stays spread over the tasks.
     All others are joined by a shuffle that no key can unbalance. ``rows`` is
-    read twice and should be a stored table."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    read twice and should be a stored table. ``total``: all rows, if known."""
+    total = total or groups.agg(F.sum(size)).first()[0] or 0
     hot, rest = groups.where(F.col(size) * share >= total), groups.where(F.col(size) * share < total)
     spread = rows.join(F.broadcast(hot), key)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")

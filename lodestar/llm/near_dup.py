@@ -17,20 +17,29 @@ All this runs on distinct fingerprints, so exact copies cost nothing, and a
 fingerprint has at most 2,080 others within 2 bits, so links grow with the
 number of distinct fingerprints and not with the square of a group.
 
+A home where many fingerprints differ in the 18 bits that no block covers is
+compared by thirds of those bits: two that link differ in at most two bits, so
+they agree in one of three.
+
 Near copies (``near_copies``, for the pipeline) are another relation: texts whose
-sets of five-word shingles have a Jaccard similarity of LEAST or more. Texts of
-equal sets form a class. Classes meet where all KEY_HASHES MinHashes of one of
-KEYS keys agree, which a pair of similarity 0.8 misses with a probability of
-(1 - 0.8**5)**32, 3 in a million, and a closer one more rarely. Every pair is then
-checked on its exact sets: first each member of a key with one of its members,
-drawn at random; then, of keys whose members are not yet one component, all
-pairs across components. So a large group of copies costs no square, and no pair
-of a key is left unchecked that could join two components.
-
-Edge cases: null and empty texts have fingerprint 0 and are linked like any
-other; fewer than three words are one shingle; a null doc_id gives a null
-component and takes part in no link of its own; rows with equal ids form one
-document; other columns are ignored.
+sets of five-word shingles have a Jaccard similarity of LEAST or more. At 0.8 two
+fingerprints differ in some ten of 64 bits, sixteen and more at times; anchors
+that cover such a radius would receive nearly every fingerprint, so candidates come
+from MinHash here. Texts of equal sets form a class. Classes meet where all
+KEY_HASHES MinHashes of one of KEYS keys agree, which a pair of similarity 0.8
+misses with a probability of (1 - 0.8**4)**20, 3 in 100,000, and a closer one more
+rarely. What meets is checked on its exact sets: first each member with the one
+hub that most of its keys name; then, of keys whose members are not yet one
+component, everything across components, inside a task. A key with many shingles
+is dealt in blocks and every two of its blocks meet in a task of their own, so no
+task grows with a group. Only links leave the tasks, at most one for each two
+components there; no pair that could join two components is left unchecked.
+
+Edge cases: null and empty texts have fingerprint 0 (an empty set) and are linked
+like any other; texts with fewer words than a shingle are one shingle; a null
+doc_id gives a null component and takes part in no link of its own; rows with
+equal ids form one document, so they link whatever their texts; other columns are
+ignored, and carried by ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +53,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .common import arrow_batch, arrow_schema, join_groups, stored, words_of
 from .graph import components
@@ -52,7 +60,9 @@ from .graph import components
 THRESHOLD, RADIUS, BLOCK, GENERATOR = 2, 3, 23, 0b110001110101
 SEED, SHINGLE = 42, 3
 #: Near copies: shingle width, least Jaccard similarity, MinHash keys of a text and hashes of a key.
-COPY_SHINGLE, LEAST, KEYS, KEY_HASHES = 5, 0.8, 32, 5
+COPY_SHINGLE, LEAST, KEYS, KEY_HASHES = 5, 0.8, 20, 4
+#: Shingles of a block of a key; members that meet one copy of a hub; residents of an anchor that is compared whole.
+BLOCK_HASHES, SLICE, MOST_RESIDENTS = 1 << 18, 256, 1024
 #: Bytes of shingle hashes that are voted on at once.
 BLOCK_BYTES = 1 << 20
 
@@ -158,7 +168,8 @@ def reached(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(classes: DataFrame) -> DataFrame:
     """a, b: representatives of distinct fingerprints (fp, rep) within THRESHOLD."""
-    schema = arrow_schema("anchor long, fp long, rep long")
+    ddl = "anchor long, fp long, rep long"
+    schema = arrow_schema(ddl)
 
     def settle(batches, everywhere: bool):
         for batch in batches:
@@ -168,18 +179,41 @@ def links(classes: DataFrame) -> DataFrame:
                 yield arrow_batch(schema, [anchor, fps[row], reps[row]])
 
     own = classes.where("rep is not null").select("fp", "rep")
-    ddl = "anchor long, fp long, rep long"
-    resident = own.mapInArrow(lambda x: settle(x, False), ddl).alias("h")
-    visitor = own.mapInArrow(lambda x: settle(x, True), ddl).alias("v")
-    near = F.expr(f"h.anchor = v.anchor and h.fp < v.fp and bit_count(h.fp ^ v.fp) <= {THRESHOLD}")
-    return resident.join(visitor, near).select(F.col("h.rep").alias("a"), F.col("v.rep").alias("b"))
+    resident = stored(own.mapInArrow(lambda x: settle(x, False), ddl), "residents")
+    visitor = own.mapInArrow(lambda x: settle(x, True), ddl)
+    near = f"h.fp < v.fp and bit_count(h.fp ^ v.fp) <= {THRESHOLD}"
+    pair = F.col("h.rep").alias("a"), F.col("v.rep").alias("b")
+    full = resident.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_RESIDENTS).select("anchor")
+    full = stored(full, "full-anchors")
+    if full.isEmpty():
+        return resident.alias("h").join(visitor.alias("v"), F.expr(f"h.anchor = v.anchor and {near}")).select(*pair)
+    others = resident.join(full, "anchor", "left_anti").alias("h").join(visitor.alias("v"), F.expr(f"h.anchor = v.anchor and {near}")).select(*pair)
+
+    def thirds(rows: DataFrame) -> DataFrame:
+        """Each fingerprint under every third of its bits beyond the blocks."""
+        beyond = F.shiftrightunsigned("fp", 2 * BLOCK)
+        parts = [F.shiftright(beyond, 6 * k).bitwiseAND(63) for k in range(3)]
+        return rows.join(full, "anchor").select("*", F.posexplode(F.array(*parts)).alias("k", "part"))
+
+    # A pair that agrees in several thirds is taken from the first of them.
+    first = " and ".join(f"(h.k <= {k} or ((h.fp ^ v.fp) >>> {2 * BLOCK + 6 * k}) & 63 != 0)" for k in range(2))
+    split = thirds(resident).alias("h").join(thirds(visitor).alias("v"), F.expr(f"h.anchor = v.anchor and h.k = v.k and h.part = v.part and {near} and {first}"))
+    return others.unionByName(split.select(*pair))
+
+
+def same_id_links(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """a, b: edges that make rows with equal ids one document: from an id that
+    occurs in several classes to the representative of each."""
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("doc_id")
+    found = rows.join(several, "doc_id").select("doc_id", key).distinct().join(classes.select(key, "rep"), key)
+    return found.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, class_size of every document."""
     fps = stored(fingerprints(docs), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
-    roots = components(links(classes))
+    roots = components(links(classes).unionByName(same_id_links(fps, classes, "fp")))
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "class_size", F.coalesce("root", "rep").alias("component_id"))
     found = join_groups(fps, named, "fp", "class_size")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
@@ -227,66 +261,155 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, ddl)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The rows a, b of ``pairs`` (distinct, stored) whose texts have a Jaccard
-    similarity of ``least`` or more."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").distinct(), "copy-texts")
+def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """same, keys, set (its shingle hashes, sorted) of the texts of documents in
+    ``reps`` (doc_id), stored."""
+    ddl = "same binary, keys array<long>, set binary"
+    schema = arrow_schema(ddl)
 
-    def with_text(rows: DataFrame, key: str) -> DataFrame:
-        sizes = rows.groupBy(key).agg(F.count("*").alias("_size"))
-        own = texts.join(sizes, texts.doc_id == sizes[key]).select(key, "_size", F.col("text").alias(f"text_{key}"))
-        return join_groups(rows, own, key, "_size").drop("_size")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = shingle_set(text, width)
+                if len(own):
+                    yield arrow_batch(schema, [[xxhash.xxh128_digest(own.tobytes())], minhash_keys([own]).tolist(), [own.tobytes()]])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(reps, "doc_id", "left_semi").select("text")
+    found = texts.mapInArrow(each, ddl)
+    return stored(found.groupBy("same").agg(F.first("keys").alias("keys"), F.first("set").alias("set")), "copy-sets")
+
+
+def hub_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b of the rows of ``pairs`` (stored: same and a of a member, hub and b of
+    its hub) whose sets are similar. A hub's set is copied for every SLICE members,
+    so a hub of many is met in many tasks."""
+    counts = pairs.groupBy("hub").agg(F.count("*").alias("n"))
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    hubs = counts.join(sets.select(F.col("same").alias("hub"), F.col("set").alias("hub_set")), "hub").select("hub", "hub_set", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    dealt = join_groups(pairs, counts.select("hub", "n", slices.alias("slices")), "hub", "n").withColumn("slice", F.pmod(F.xxhash64("same"), F.col("slices")).cast("int"))
+    met = dealt.join(sets.select("same", "set"), "same").join(hubs, ["hub", "slice"]).select("a", "b", "set", "hub_set")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            last, own, near = None, None, []
-            for x, y in zip(a, b, strict=True):
-                if own is None or x != last:
-                    last, own = x, shingle_set(x, width)
-                other = shingle_set(y, width)
+            near = []
+            for x, y in zip(batch.column("set"), batch.column("hub_set"), strict=True):
+                own, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 near.append(common >= least * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return with_text(with_text(pairs, "a"), "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
+    return met.mapInArrow(each, "a long, b long")
+
+
+def links_across(key: int, sides: np.ndarray, reps: np.ndarray, roots: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between members of a key that have different roots, one for each two
+    components that they join. ``sides``: the blocks of the members; of two blocks
+    only pairs across are compared. A pair is compared under the first key that it
+    shares. A member of whose shingles too few occur in others is left out."""
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, term, met = np.unique(flat, return_inverse=True, return_counts=True)
+    able = np.add.reduceat(met[term] > 1, starts) >= least * sizes
+    roots, two, found = roots.copy(), sides.min() != sides.max(), []
+    first = keys == key  # each key's place among a member's keys is fixed
+    place = int(first.any(axis=0).argmax())
+    flags = np.zeros(len(met), np.int32)
+    for i in np.flatnonzero(able):
+        j = np.flatnonzero(able & (roots != roots[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i])))
+        j = j[(j > i) & ((sides[j] != sides[i]) | (not two))]
+        j = j[~(keys[j, :place] == keys[i, :place]).any(axis=1)]
+        if not len(j):
+            continue
+        flags[term[starts[i] : starts[i] + sizes[i]]] = 1
+        at = np.repeat(starts[j] - (np.cumsum(sizes[j]) - sizes[j]), sizes[j]) + np.arange(sizes[j].sum())
+        common = np.add.reduceat(flags[term[at]], np.cumsum(sizes[j]) - sizes[j])
+        flags[term[starts[i] : starts[i] + sizes[i]]] = 0
+        for k in j[common >= least * (sizes[i] + sizes[j] - common)]:
+            if roots[k] != roots[i]:
+                found.append((int(reps[i]), int(reps[k])))
+                roots[roots == roots[k]] = roots[i]
+    return found
+
+
+def open_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: links of ``members`` (key, same, rep, root, mass: the shingles of the
+    key's members) across the components of a key."""
+    blocks = F.ceil(F.col("mass") / BLOCK_HASHES).cast("int")
+    own = members.select("key", "same", "rep", "root", blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Of several blocks each two meet, and a block meets itself.
+    dealt = own.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "root", "same")
+    dealt = dealt.join(sets, "same").drop("same").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    schema = arrow_schema("a long, b long")
+
+    def compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        if len(rows) > 1:
+            key, side, reps, roots = (rows.column(c).to_numpy() for c in ("key", "side", "rep", "root"))
+            keys = np.array(rows.column("keys").to_pylist(), np.int64)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+            found = links_across(int(key[0]), side, reps, roots, keys, sets, least)
+            if found:
+                yield arrow_batch(schema, list(zip(*found, strict=True)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.column_stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(marks[a]) != name:
+                    yield from compare(held)
+                    held = []
+                name = tuple(marks[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from compare(held)
+
+    return dealt.mapInArrow(each, "a long, b long")
 
 
 def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = LEAST) -> DataFrame:
     """doc_id, component_id, class_size of every document; components of texts
     whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    sets = stored(shingle_sets(docs, width), "shingle-sets")
-    classes = stored(sets.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-classes")
-    rows = classes.where("rep is not null").select("rep", "n", F.explode("keys").alias("key"))
-    drawn = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep"), F.col("n")))
-    met = rows.groupBy("key").agg(F.count("*").alias("size"), drawn.alias("first")).where("size > 1")
-    met = stored(met.select("key", "size", F.col("first.rep").alias("a"), F.col("first.n").alias("m")), "copy-keys")
-    rows = stored(rows.join(met.select("key"), "key", "left_semi"), "copy-members")
+    rows = stored(shingle_sets(docs, width), "shingle-sets")
+    classes = stored(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-classes")
+    keyed = classes.where("rep is not null").select("same", "rep", "n", F.explode("keys").alias("key"))
+    hub = F.min(F.struct(F.xxhash64("same").alias("h"), "same", "rep", "n")).alias("hub")
+    met = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), hub).where("size > 1")
+    met = stored(met.select("key", "size", "mass", F.col("hub.same").alias("hub"), F.col("hub.rep").alias("b"), F.col("hub.n").alias("m")), "copy-keys")
+    members = stored(join_groups(stored(keyed.join(met.select("key"), "key", "left_semi"), "copy-met"), met, "key", "size"), "copy-members")
+    sets = class_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width)
     # Sets whose sizes are further apart than ``least`` can't be that similar.
     fit = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
-    stars = join_groups(rows, met, "key", "size").where((F.col("rep") != F.col("a")) & fit)
-    first = stored(stars.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "copy-pairs")
-    edges = stored(similar(first, docs, width, least), "copy-links")
-    roots = components(edges)
-    named = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    named = stored(named, "copy-roots")
-    open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = stored(named.join(open_keys, "key", "left_semi"), "copy-open")
-    x, y = left.alias("x"), left.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")).alias("y")
-    across = x.join(y, "key").where((F.col("rep") < F.col("other")) & (F.col("root") != F.col("other_root")) & fit)
-    across = across.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    edges = edges.unionByName(similar(stored(across, "copy-pairs"), docs, width, least))
-    roots = components(edges)
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", "class_size", F.coalesce("root", "rep").alias("component_id"))
+    named = members.where((F.col("same") != F.col("hub")) & fit).groupBy("same", "rep", "hub", "b").agg(F.count("*").alias("times"))
+    one = F.max(F.struct("times", "hub", "b")).alias("one")
+    pairs = stored(named.groupBy("same", "rep").agg(one).select("same", F.col("rep").alias("a"), "one.hub", "one.b"), "copy-pairs")
+    edges = stored(hub_links(pairs, sets, least).unionByName(same_id_links(rows, classes, "same")), "copy-links")
+    roots = components(edges).withColumnRenamed("node", "rep")
+    rooted = stored(members.join(roots, "rep", "left").select("key", "same", "rep", "mass", F.coalesce("root", "rep").alias("root")), "copy-roots")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    across = stored(open_links(rooted.join(open_keys, "key", "left_semi"), sets, least).distinct(), "copy-links")
+    roots = components(edges.unionByName(across)).withColumnRenamed("node", "rep")
+    found = classes.join(roots, "rep", "left").select("same", "class_size", F.coalesce("root", "rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return join_groups(sets.select("doc_id", "same"), named, "same", "class_size").select("doc_id", own, "class_size")
+    return join_groups(rows.select("doc_id", "same"), found, "same", "class_size").select("doc_id", own, "class_size")
 
 
 def keep_one(docs: DataFrame, found=near_duplicates) -> DataFrame:
     """``docs`` with one document of each component, as ``found`` gives them: that
-    with the smallest id."""
-    first = found(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = F.row_number().over(W.Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_n", once).where("_n = 1 or doc_id is null").select(*docs.columns)
+    with the smallest id. Rows with its id are that document and stay; of rows that
+    repeat id and text one stays. Rows with a null id stay. Ids alone decide, so
+    texts are shuffled only where the ids to drop are too many to broadcast."""
+    named = stored(found(docs).where("doc_id is not null").select("doc_id", "component_id"), "components")
+    gone = named.where("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct()
+    often = named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = whole.join(stored(gone, "gone"), "id", "left_anti")
+    often = stored(often, "repeated")
+    if not often.isEmpty():
+        again = kept.join(often, "id").groupBy("id", "row.text").agg(F.first("row").alias("row"))
+        kept = kept.join(often, "id", "left_anti").select("row").unionByName(again.select("row"))
+    return kept.select("row.*")

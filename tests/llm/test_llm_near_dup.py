@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
+from lodestar.llm import graph
 from lodestar.llm import near_dup as nd
 from lodestar.llm.graph import components
 
@@ -73,9 +75,11 @@ def test_links_equal_brute_force(spark):
     assert got == want and len(want) > 100
 
 
-def test_components(spark):
+@pytest.mark.parametrize("wide", [5, graph.WIDE])
+def test_components(spark, monkeypatch, wide):
+    monkeypatch.setattr(graph, "WIDE", wide)
     rng = random.Random(4)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 3)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1030)] + [(2000, 2001 + i) for i in range(40)] + [(5, 5), (None, 3)]
     root = {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     for a, b in edges:
@@ -114,6 +118,57 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert nd.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_with_equal_ids_are_one_document(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    df = spark.createDataFrame([(1, a, "", "", 1), (1, b, "", "", 2), (0, a, "", "", 3), (5, b, "", "", 4), (9, "x " * 30, "", "", 5), (9, "x " * 30, "", "", 6), (9, "y " * 30, "", "", 7)], SCHEMA)
+    for found in (nd.near_duplicates, nd.near_copies):
+        got = sorted((r["doc_id"], r["component_id"]) for r in found(df).collect())
+        assert got == [(0, 0), (1, 0), (1, 0), (5, 0), (9, 9), (9, 9), (9, 9)]
+        assert sorted((r["doc_id"], r["text"][0]) for r in nd.keep_one(df, found).collect()) == [(0, "a"), (9, "x"), (9, "y")]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 8, 9, "q"), (2, "a b c", 1, 2, 3, "r"), (3, "d e f", 4, 5, 6, "s")], "doc_id long, text string, _id int, _n int, id int, row string")
+    kept = nd.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", 7, 8, 9, "q"), (3, "d e f", 4, 5, 6, "s")]
+
+
+def test_a_full_anchor_is_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, beyond = 0x2A5A5A5A5A5A & ((1 << 46) - 1), rng.choice(1 << 17, 1500, replace=False)
+    fps = sorted({base | int(x) << 46 for x in beyond} | {base ^ 1 << int(rng.integers(46)) | int(x) << 46 for x in beyond[:300]})
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    array = np.array(fps).view(np.uint64)
+    want = {(i, int(j)) for i in range(len(fps)) for j in i + 1 + np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= 2)}
+    assert {tuple(sorted(r)) for r in nd.links(df).collect()} == want and len(want) > 300
+    monkeypatch.setattr(nd, "MOST_RESIDENTS", 1 << 30)
+    assert {tuple(sorted(r)) for r in nd.links(df).collect()} == want
+
+
+def test_blocks_of_a_key_find_the_same_components(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(90):  # a cloud whose members are around 0.8 from each other
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(116)} for k, t in texts.items()}
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if r == y else r for k, r in root.items()}
+    df = spark.createDataFrame([(k, t, "", "", 1) for k, t in texts.items()], SCHEMA)
+    assert 1 < len(set(root.values())) < 90
+    monkeypatch.setattr(nd, "SLICE", 7)
+    for size in (500, nd.BLOCK_HASHES):
+        monkeypatch.setattr(nd, "BLOCK_HASHES", size)
+        assert {r["doc_id"]: r["component_id"] for r in nd.near_copies(df).collect()} == root
+
+
 def test_near_copies_equal_brute_force(spark):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(2000)]
