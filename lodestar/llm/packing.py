@@ -12,7 +12,8 @@ level of it at once, so a bucket costs n log n for n lengths.
 
 A document's place in its bucket comes from prefix sums over hash slots, so no
 task orders a whole bucket: a slot holds about SLOT_ROWS documents of it however
-large the bucket is. Rows with equal (doc_id, length) are interchangeable.
+large the bucket is; slots go by id and text, so ids that are null or repeat are
+spread as well. Rows with equal (doc_id, text) are interchangeable.
 
 Edge cases: a null or empty text has length 0 and costs the smallest bucket's
 padding; one longer than the budget gets a batch of its own; an empty table
@@ -28,8 +29,6 @@ from pyspark.sql import window as W
 
 from .common import n_words, stored
 
-#: The grid that lengths were once rounded to; every number of bins is exact now.
-EXACT_BINS = 4096
 #: Origins that the programme looks at in one numpy step.
 BATCH = 1 << 20
 SLOT_ROWS = 20_000
@@ -95,17 +94,17 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 16_384, length=None)
     document; (bucket, batch) names a batch of at most ``budget`` padded tokens.
 
     ``length``: a Column; words and one end token if not given."""
-    lengths = stored(docs.select("doc_id", (n_words(F.col("text")) + 1 if length is None else length).cast("long").alias("n_tokens")), "packing-lengths")
+    lengths = stored(docs.select("doc_id", (n_words(F.col("text")) + 1 if length is None else length).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("hash")), "packing-lengths")
     values, counts = histogram(lengths)
     bounds = best_boundaries(values, counts, buckets) if len(values) else [1]
     slots = max(1, int(counts.sum()) // SLOT_ROWS + 1)
     bucket = F.lit(0)
     for b in bounds[:-1]:
         bucket = bucket + (F.col("n_tokens") > b).cast("int")
-    rows = lengths.withColumn("bucket", bucket).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int"))
+    rows = lengths.withColumn("bucket", bucket).withColumn("slot", F.pmod("hash", F.lit(slots)).cast("int"))
     before = W.Window.partitionBy("bucket").orderBy("slot").rowsBetween(W.Window.unboundedPreceding, -1)
     bases = rows.groupBy("bucket", "slot").agg(F.count("*").alias("n")).select("bucket", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(W.Window.partitionBy("bucket", "slot").orderBy("doc_id", "n_tokens"))
+    inside = F.row_number().over(W.Window.partitionBy("bucket", "slot").orderBy("doc_id", "n_tokens", "hash"))
     tokens = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1)
     placed = rows.withColumn("_i", inside).join(bases, ["bucket", "slot"]).withColumn("_i", F.col("_i") - 1 + F.col("base"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1))))

@@ -41,7 +41,8 @@ def brute(rows):
                 free.discard(s)
     out = {}
     for s in names:
-        own = sorted((hashlib.md5(str(i).encode()).hexdigest()[:12], i, size(t)) for i, t, x in rows if x == s)
+        name = lambda i, t: f"{'' if i is None else i} {hashlib.md5((t or '').encode()).hexdigest()}"
+        own = sorted((hashlib.md5(name(i, t).encode()).hexdigest()[:12], i, size(t)) for i, t, x in rows if x == s)
         whole = int((target[s] + 1e-6) // amounts[s]) if amounts[s] else 0
         rest, upto = target[s] - whole * amounts[s], 0
         for _, i, n in own:
@@ -124,8 +125,35 @@ def test_batches(spark, monkeypatch):
     assert packing.pack(frame(spark, []).limit(0)).count() == 0
 
 
-def test_many_lengths_go_to_a_grid(spark, monkeypatch):
-    monkeypatch.setattr(packing, "EXACT_BINS", 8)
+def test_null_ids_come_near_the_target(spark):
+    rows = [(None, f"{'w ' * 10}x{i}", "s") for i in range(400)]
+    got = mixing.mix_report(frame(spark, rows)).collect()
+    assert {r["target"] for r in got} == {1.5 * 4400} and 6500 < sum(r["taken"] for r in got) <= 6600
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["_hash", "whole", "below", "_s", "copies", "_copy", "key", "row", "rows", "hash"]
+    df = frame(spark, some(40, 5)).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    assert {tuple(r)[-len(names) :] for r in got.collect()} == {tuple(range(len(names)))}
+    assert got.count() == mixing.mix(df.drop(*names)).count() > 0
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows = some(200, 6) + [(1000 + i, "w " * 7, f"s{i}") for i in range(30)]
+    want = sorted(map(tuple, mixing.mix_report(frame(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "SMALL_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix_report(frame(spark, rows)).collect())) == want
+
+
+def test_null_and_equal_ids_are_packed(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT_ROWS", 20)
+    got = packing.pack(frame(spark, [(None, f"a b {i}", "s") for i in range(100)] + [(5, f"a {i}", "s") for i in range(50)])).collect()
+    assert len({(r["bucket"], r["batch"], r["place"]) for r in got}) == len(got) == 150
+
+
+def test_every_row_has_a_place(spark):
     rows = [(i, "w " * i, "s") for i in range(100)]
     got = packing.pack(frame(spark, rows), buckets=3).collect()
     assert len(got) == 100 and all(r["padding"] >= 0 and r["n_tokens"] == r["doc_id"] + 1 for r in got)
