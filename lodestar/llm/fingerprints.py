@@ -1,8 +1,8 @@
 """Document fingerprints: weighted SimHash, and search by permuted block tables.
 
 Terms are pairs of adjacent words. Each term's 128-bit XXH3 value votes for or
-against every bit with the term's weight, its length in bytes: long terms are
-rare ones, and a term that is repeated votes each time (Charikar, 2002).
+against every bit with the term's weight, its length in bytes, 255 at most: long
+terms are rare ones, and a term that is repeated votes each time (Charikar, 2002).
 
 Search within RADIUS = 3 bits (after Manku, Jain and Das Sarma, 2007): the 128
 bits are cut into five blocks; three flipped bits leave at least two blocks
@@ -11,8 +11,8 @@ put two blocks first. Each table's key has 50 bits or more.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint
 zero; a text of one word has that word as its term; documents with equal ids
-follow one another by text, null first, and a null id sorts first; a table of
-one document is its own next one; an empty table gives no rows; other columns
+follow one another by a hash of their texts, so a range holds no more of them than
+of others; null ids sort first; a table of one document is its own next one; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -80,7 +80,7 @@ def edited(text: str | None, following: str | None) -> str:
 
 
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, hi long, lo long, edited_fingerprint string, near_edited double, near_next double"
-SEAM = ", shard long, head string, tail string"
+SEAM = ", shard int, head string, tail string"
 
 
 def _rows(ids: list, texts: list, following: list) -> list:
@@ -106,9 +106,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         shard = held = None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                ids, texts, numbers = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 if shard is None:
-                    shard = ids[0]
+                    shard = numbers[0]
                     yield pa.RecordBatch.from_pylist([{"shard": shard, "head": texts[0] or ""}], full)
                 if held:
                     ids, texts = [held[0], *ids], [held[1], *texts]
@@ -119,15 +119,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([{"doc_id": held[0], "shard": shard, "tail": held[1] or ""}], full)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered = rows.select("doc_id", "text", F.spark_partition_id().alias("shard"))
     swept = stored(ordered.mapInArrow(sweep, FIELDS + SEAM), "fingerprints")
     heads = swept.where("head is not null").select("shard", "head")
     # One row a range; without the texts, so that one task can order them.
     order = heads.select("shard", F.lead("shard").over(W.Window.orderBy("shard")).alias("after"), F.first("shard").over(W.Window.orderBy("shard")).alias("first"), F.row_number().over(W.Window.orderBy(F.desc("shard"))).alias("from_end"))
     order = order.select("shard", F.when(F.col("from_end") == 1, F.col("first")).otherwise(F.col("after")).alias("after"))
     tails = swept.where("tail is not null").select("doc_id", "shard", "tail")
-    pairs = tails.join(order.withColumnRenamed("shard", "s"), F.col("shard").eqNullSafe(F.col("s"))).select("doc_id", "tail", "after")
-    pairs = pairs.join(heads, F.col("after").eqNullSafe(F.col("shard"))).select("doc_id", "tail", "head")
+    pairs = tails.join(order, "shard").select("doc_id", "tail", "after")
+    pairs = pairs.join(heads, F.col("after") == F.col("shard")).select("doc_id", "tail", "head")
     short = arrow_schema(FIELDS)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,9 @@ Spark commits, names only the files of attempts that succeeded, so a lost
 executor or a speculative copy can neither damage nor double a shard.
 
 Edge cases: a null or empty text is the end id alone; documents with equal ids
-are ordered by text, null first; a null doc_id sorts first and is stored as
--2**63; an empty table gives a manifest without rows; other columns are ignored.
+are ordered by a hash of their texts, so a shard holds no more of them than of
+others; a null doc_id sorts first and is stored as -2**63; an empty table gives a
+manifest without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .common import arrow_batch, arrow_schema, as_local, make_folder, new_folder
 
 #: Distinct words whose ids a worker keeps; beyond it the table starts anew.
 CACHE_WORDS = 1_200_000
-MANIFEST = "shard string, first_doc long, n_docs long, n_ids long, width int"
+MANIFEST = "shard string, number int, first_doc long, n_docs long, n_ids long, width int"
 NULL_DOC = -(1 << 63)
 
 
@@ -46,10 +47,11 @@ class WordEncoder:
     """Encodes by distinct words. A tokenizer that lower-cases and drops white
     space between words gives a text's ids as the ids of its words in turn, so
     each distinct word goes through the tokenizer once for each time the table
-    starts anew. A tokenizer of another kind is used on whole texts
-    (``by_word=False``), and so is a text that may hold special tokens."""
+    starts anew. A tokenizer of another kind is used on whole texts, and so is a
+    text that may hold special tokens. ``by_word``: found out from the tokenizer if
+    not given."""
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, by_word: bool | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
@@ -58,6 +60,23 @@ class WordEncoder:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark = next((t.encode() for t in special if t.startswith("<|")), None)
         self.mark_id = special.get(self.mark.decode()) if self.mark else None
+        if by_word is None:
+            self.by_word = self.mark is not None and self._divides()
+
+    def _divides(self) -> bool:
+        """Whether words can be encoded apart: the normaliser lower-cases and does
+        nothing else but compose letters and unify white space, the first splitter
+        removes what it doesn't match, and no probe comes out otherwise."""
+        spec = json.loads(self.tokenizer.to_str())
+        normal, split = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        steps, parts = normal.get("normalizers", [normal]), split.get("pretokenizers", [split])
+        known = all(s.get("type") in ("NFC", "Lowercase") or (s.get("type") == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " ") for s in steps)
+        removes = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+        if not (known and removes and any(s.get("type") == "Lowercase" for s in steps)):
+            return False
+        self.by_word = True
+        probes = [" a  b ", "It's THE\n\tend. Don't, 12 345.6 x", "\u00c9t\u00e9 \u0301a e\u0301 \u6f22\u5b57 \u00df!", "a.b ,c' 's ' t"]
+        return self.encode(probes) == self.whole(probes)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -99,17 +118,17 @@ class WordEncoder:
         return coded
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
+_encoders: dict[tuple[str, bool | None], WordEncoder] = {}
 
 
-def encoder(path: str, by_word: bool) -> WordEncoder:
+def encoder(path: str, by_word: bool | None) -> WordEncoder:
     if (path, by_word) not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path, by_word] = WordEncoder(path, by_word)
     return _encoders[path, by_word]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str | None = None, by_word: bool = True) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str | None = None, by_word: bool | None = None) -> str:
     """Encodes ``docs`` (doc_id, text) and returns the data set's folder."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -122,7 +141,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = ids or open_write(f"{folder}/ids-{name}")
+            ids, number = ids or open_write(f"{folder}/ids-{name}"), batch.column(2)[0].as_py()
             texts = batch.column(1).to_pylist()
             docs_seen += [NULL_DOC if d is None else d for d in batch.column(0).to_pylist()]
             for i in range(0, len(texts), 256):
@@ -136,9 +155,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
         for kind, data in (("offsets", offsets), ("docs", np.asarray(docs_seen, "<i8"))):
             with open_write(f"{folder}/{kind}-{name}") as f:
                 f.write(data.tobytes())
-        yield arrow_batch(arrow_schema(MANIFEST), [[name], [docs_seen[0]], [len(docs_seen)], [int(offsets[-1])], [code.width]])
+        yield arrow_batch(arrow_schema(MANIFEST), [[name], [number], [docs_seen[0]], [len(docs_seen)], [int(offsets[-1])], [code.width]])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered = rows.select("doc_id", "text", F.spark_partition_id().alias("number"))
     ordered.mapInArrow(shard, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
@@ -147,7 +167,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
     The driver takes one manifest row for each shard to sum the bases."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("first_doc").collect()
+    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("number").collect()
     bases = np.concatenate([[0], np.cumsum([r["n_ids"] for r in rows])])
     listed = spark.createDataFrame([(json.dumps([r["shard"], int(b), r["width"]]),) for r, b in zip(rows, bases, strict=False)], "spec string")
 

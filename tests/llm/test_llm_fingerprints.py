@@ -61,3 +61,9 @@ def test_ties_single_and_empty(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == sorted([("None", sha("c c c " + "a")), ("3", sha("a a a " + "b")), ("3", sha("b b b " + "c"))])
     assert fp.report(one.limit(0)).count() == 0
+
+
+def test_many_null_and_equal_ids_give_a_row_each(spark):
+    df = spark.createDataFrame([(None, f"n{i} x") for i in range(900)] + [(3, f"s{i} y") for i in range(300)] + [(i, f"t{i}") for i in range(10, 60)], "doc_id long, text string")
+    got = fp.fingerprint_edits(df.repartition(5)).collect()
+    assert len(got) == 1250 and sum(r["doc_id"] is None for r in got) == 900 and sum(r["doc_id"] == 3 for r in got) == 300
