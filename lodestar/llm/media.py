@@ -11,7 +11,8 @@ the bits by one array operation before its strings are looked up.
 
 Edge cases: a null text is an empty payload of 64 zero bytes; a file that is
 null, cut off or not a GIF gives no frames and an ``error`` instead of a crash;
-codes past the table end the frame, whose missing pixels stay as they were;
+so does one whose screen or frame has more than MOST_PIXELS, which its bytes may
+name without holding them; codes past the table end the frame, whose missing pixels stay as they were;
 equal bytes give equal frames and columns.
 """
 
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame
 from .common import arrow_batch, arrow_schema, stored, utf8
 
 MAX_CODES = 4096
-#: Rows of a stored frame: a GIF's height is a 16-bit number.
-MAX_ROWS = 65_535
+#: Rows of a stored frame: a GIF's height is a 16-bit number. Pixels of a screen or
+#: frame that is rendered, 256 MB.
+MAX_ROWS, MOST_PIXELS = 65_535, 1 << 26
 
 
 def _widths(size: int) -> np.ndarray:
@@ -213,6 +215,8 @@ def parse_gif(data: bytes) -> tuple[int, int, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     width, height, flags = struct.unpack("<HHB", data[6:11])
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"screen of {width} x {height}")
     at = 13
     palette = np.zeros((256, 3), np.uint8)
     if flags & 0x80:
@@ -241,6 +245,8 @@ def parse_gif(data: bytes) -> tuple[int, int, list[Frame]]:
         elif data[at] == 0x2C:
             left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
             at += 10
+            if w * h > MOST_PIXELS:
+                raise ValueError(f"frame of {w} x {h}")
             own = palette
             if flags & 0x80:
                 n = 2 << (flags & 7)

@@ -5,7 +5,9 @@ well. The reader checks each record: the member's own checksum, the version
 line, header fields, content length, closing line ends, and the block and
 payload digests. After a failed check it searches for the next gzip member or
 version line that begins a valid record, goes on from there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap. A member may hold several records; of a damaged one
+among them the others are recovered alike. Searches go on from where the last one
+found something, so a file is searched once however many false starts it has.
 
 Tasks write files under names of their own; the manifest, a Parquet table that
 Spark commits, lists those of successful attempts only.
@@ -13,7 +15,9 @@ Spark commits, lists those of successful attempts only.
 Edge cases: null and empty html is an empty payload; payloads under the size
 limit are always responses; rows that repeat the largest page_id of a payload
 are responses each; a null page_id is kept as null and never referred to; an
-empty table gives no records; other columns are ignored.
+empty table gives no records; a member that unpacks to more than MOST_BYTES (2 GiB,
+beyond what a text can be) is a logged gap, and ``round_trip`` fails on any gap;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import hashlib
 import json
 import mmap
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, as_local, join_groups, make_folder, new_folder, open_write, utf8
+from .common import arrow_batch, arrow_schema, as_local, join_groups, make_folder, new_folder, open_write, stored, utf8
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -95,15 +100,32 @@ def _fields(lines: bytes) -> dict[str, str]:
     return found
 
 
-def parse_record(data, at: int) -> tuple[int, Record]:
+class Finder:
+    """Places of byte strings in ``data``, asked for at rising positions: what was
+    found last stands until it is passed."""
+
+    def __init__(self, data):
+        self.data, self.found = data, {}
+
+    def next(self, wanted: bytes, at: int, use: int = 0) -> int:
+        """The first place at or after ``at``; the end of the data if there is none.
+        Different uses of a byte string are remembered apart."""
+        asked, place = self.found.get((wanted, use), (0, -1))
+        if place < at or at < asked:
+            place = self.data.find(wanted, at)
+            place = len(self.data) if place < 0 else place
+            self.found[wanted, use] = at, place
+        return place
+
+
+def parse_record(data, at: int, finder: Finder | None = None) -> tuple[int, Record]:
     """(end, record) of the plain record at ``at``, all checks passed."""
-    if data[at : at + 7] != b"WARC/1.":
+    if not re.fullmatch(rb"WARC/1\.\d+\r\n", bytes(data[at : at + 10])):
         raise Broken("version line")
-    end_line = data.find(b"\r\n", at, at + 64)
-    end_head = data.find(b"\r\n\r\n", at)
-    if end_line < 0 or end_head < 0:
+    end_head = (finder or Finder(data)).next(b"\r\n\r\n", at)
+    if end_head == len(data):
         raise Broken("header")
-    fields = _fields(bytes(data[end_line + 2 : end_head]))
+    fields = _fields(bytes(data[at + 10 : end_head]))
     length = fields.get("content-length", "")
     if not length.isdigit():
         raise Broken("content length")
@@ -128,52 +150,74 @@ def parse_record(data, at: int) -> tuple[int, Record]:
     return end + 4, found
 
 
-def _unpack(data, at: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at ``at``."""
-    pack, parts, size, i = zlib.decompressobj(wbits=31), [], 0, at
+def _unpack(data, at: int, finder: Finder) -> tuple[int, bytes]:
+    """(end, content) of the gzip member at ``at`` (RFC 1952). Its header is read by
+    ``finder``, so that names without an end don't cost a search each."""
+    head, size = bytes(data[at : at + 12]), len(data)
+    if len(head) < 12 or head[3] & 0xE0:
+        raise Broken("member header")
+    i = at + 10
+    if head[3] & 4:
+        i += 2 + int.from_bytes(head[10:12], "little")
+    for flag in (8, 16):  # name, comment
+        if head[3] & flag:
+            i = finder.next(b"\0", i, flag) + 1
+    i += head[3] & 2
+    pack, parts, unpacked, crc, step = zlib.decompressobj(wbits=-15), [], 0, 0, 1 << 12
     try:
         while not pack.eof:
-            piece = data[i : i + (1 << 16)]
+            piece = bytes(data[i : i + step])
             if not piece:
                 raise Broken("member cut off")
-            i += len(piece)
+            i, step = i + len(piece), 1 << 16
             parts.append(pack.decompress(piece))
-            size += len(parts[-1])
-            if size > MOST_BYTES:
+            unpacked, crc = unpacked + len(parts[-1]), zlib.crc32(parts[-1], crc)
+            if unpacked > MOST_BYTES:
                 raise Broken("member too large")
     except zlib.error as e:
         raise Broken(f"member: {e}") from e
-    return i - len(pack.unused_data), b"".join(parts)
-
-
-def _parse(data, at: int) -> tuple[int, Record]:
-    if data[at : at + 3] == MAGIC:
-        end, content = _unpack(data, at)
-        inner, found = parse_record(content, 0)
-        if inner != len(content):
-            raise Broken("member holds more than a record")
-        found.offset, found.end = at, end
-        return end, found
-    return parse_record(data, at)
+    i -= len(pack.unused_data)
+    if i + 8 > size:
+        raise Broken("member cut off")
+    if bytes(data[i : i + 8]) != crc.to_bytes(4, "little") + (unpacked & 0xFFFFFFFF).to_bytes(4, "little"):
+        raise Broken("member checksum")
+    return i + 8, b"".join(parts)
+
+
+def _members(content: bytes, at: int, end: int) -> Iterator[Record | tuple[int, int, str]]:
+    """The records of a member's content, which lies from ``at`` to ``end``."""
+    found = list(salvage(content))
+    if not any(isinstance(x, Record) for x in found):
+        raise Broken(found[0][2] if found else "empty member")
+    for x in found:
+        if isinstance(x, tuple):
+            yield at, end, f"in member: {x[2]}"
+        else:
+            x.offset, x.end = at, end
+            yield x
 
 
 def salvage(data) -> Iterator[Record | tuple[int, int, str]]:
     """Valid records in file order, and (start, end, reason) of the gaps."""
     at = bad = 0
-    reason, size = "", len(data)
+    reason, size, finder = "", len(data), Finder(data)
     while at < size:
         try:
-            end, found = _parse(data, at)
+            if data[at : at + 3] == MAGIC:
+                end, content = _unpack(data, at, finder)
+                found = list(_members(content, at, end))
+            else:
+                end, record = parse_record(data, at, finder)
+                found = [record]
         except Broken as e:
             if not reason:
                 bad, reason = at, str(e)
-            nexts = [i for i in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if i >= 0]
-            at = min(nexts, default=size)
+            at = min(finder.next(MAGIC, at + 1), finder.next(b"WARC/1.", at + 1))
             continue
         if reason:
             yield bad, at, reason
             reason = ""
-        yield found
+        yield from found
         at = end
     if reason:
         yield bad, size, reason
@@ -193,7 +237,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> str:
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     large = rows.where(F.octet_length("html") >= LEAST_BYTES)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = join_groups(rows, groups, "digest", "n")
+    found = join_groups(rows, stored(groups, "payloads"), "digest", "n")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, count, size = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, 0

@@ -217,3 +217,51 @@ def test_media_digest_takes_rendered_frames(spark):
     r = media.media_digest(df).first()
     assert r["payload_sha256"] == hashlib.sha256(bytes([0, 200] * 32)).hexdigest()
     assert sum(r["histogram"]) == r["histogram"][63] == 32
+
+
+def test_a_tokenizer_that_keeps_spaces_encodes_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    tokens = pytest.importorskip("public_tokenizers")
+    path = tokens.path("byte_bpe_50k.json")
+    assert not token_files.WordEncoder(path).by_word and token_files.WordEncoder(tokenizer()).by_word
+    df = spark.createDataFrame([(1, "Two  words\nand MORE"), (2, None)], "doc_id long, text string")
+    got = token_files.read_tokens(spark, token_files.write_tokens(df, path, 0)).where("doc_id = 1").first()
+    want = Tokenizer.from_file(path).encode("Two  words\nand MORE", add_special_tokens=False).ids + [0]
+    assert (got["n_tokens"], got["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
+def test_many_null_ids_are_spread_and_kept(spark):
+    df = spark.createDataFrame([(None, f"n{i}") for i in range(300)] + [(7, f"s{i}") for i in range(300)], "doc_id long, text string")
+    got = token_files.read_tokens(spark, token_files.write_tokens(df, tokenizer(), 2)).collect()
+    assert sorted(r["doc_id"] is None for r in sorted(got, key=lambda r: r["start"]))[300:] == [True] * 300
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None] * 300 + [7] * 300
+
+
+def test_salvage_of_members_with_several_records():
+    a, b, c = (warc.record(i, "u", b"x" * 50, None) for i in (1, 2, 3))
+    found = list(warc.salvage(warc.member(a + b + c)))
+    assert [x.fields["warc-record-id"] for x in found] == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
+    broken = b.replace(b"xxx", b"xyx", 1)
+    found = list(warc.salvage(warc.member(a + broken + c) + warc.member(b)))
+    assert [x[2] if isinstance(x, tuple) else x.fields["warc-record-id"] for x in found] == ["<urn:page:1>", "in member: block digest", "<urn:page:3>", "<urn:page:2>"]
+
+
+def test_salvage_searches_a_file_once():
+    import time
+
+    good, took = warc.member(warc.record(1, "u", b"x", None)), []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        found = list(warc.salvage(warc.MAGIC * n + b"WARC/1.1\r\nx" * n + good))
+        took.append(time.perf_counter() - began)
+        assert len(found) == 2 and isinstance(found[1], warc.Record)
+    assert took[1] < 10 * took[0]  # four times the data
+
+
+def test_huge_screens_are_errors(spark):
+    data = b"GIF89a" + struct.pack("<HHBBB", 65_535, 65_535, 0, 0, 0) + b"\x3b"
+    frame = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65_535, 65_535, 0) + b"\x08\x00\x3b"
+    df = spark.createDataFrame([(1, data), (2, frame)], "doc_id long, media binary")
+    got = {r["id"]: r["error"] for r in media.gif_frames(df).collect()}
+    assert got[1].startswith("screen of 65535") and got[2].startswith("frame of 65535")
