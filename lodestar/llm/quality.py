@@ -6,8 +6,9 @@ Forward-backward gives each line's marginal probability of being good; their
 mean, weighted by length, is the document's quality, mapped to a probability by
 a logistic curve fitted on the training documents.
 
-Fitting takes at most SAMPLE_DOCS labelled documents of at most SAMPLE_LINES
-lines each; a line's label in training is its document's. Scoring takes every
+Fitting takes labelled documents, whole, in the order of their ids' hashes, as long
+as they are at most SAMPLE_DOCS and have at most SAMPLE_LINES lines together (both
+parameters; the first is taken in any case); a line's label in training is its document's. Scoring takes every
 document, whole.
 
 Edge cases: a null or empty text is one empty line and gets a score like any
@@ -26,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import arrow_batch, arrow_schema, scored_rows, utf8
+from .common import arrow_batch, arrow_schema, scored_rows, stored, utf8
 from .labels import sampled
 
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 2000
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 400_000
 KEEP_AT = 0.7
 
 #: Byte classes that are counted in a line; each has its share as a feature.
@@ -168,7 +170,7 @@ def fit(features: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: n
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", sample: int = SAMPLE_DOCS) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> Chain:
     """Fits on a bounded sample of the labelled documents that pass ``keep`` (a
     condition on labels); their line features, not their texts, reach the driver."""
     chosen = sampled(labels, label, sample, keep)
@@ -178,13 +180,15 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "qualit
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = utf8(text)
-                if data.count(b"\n") < SAMPLE_LINES:
-                    x, n, counts = line_features([data])
-                    yield arrow_batch(schema, [[y], [int(counts[0])], [n.astype(np.int64).tobytes()], [x.astype(np.float32).tobytes()]])
-
-    # The sample is bounded, so it is broadcast.
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(features, ddl).collect()
+                x, n, counts = line_features([utf8(text)])
+                yield arrow_batch(schema, [[y], [int(counts[0])], [n.astype(np.int64).tobytes()], [x.astype(np.float32).tobytes()]])
+
+    # The sample is bounded, so it is broadcast and ordered by one task.
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    counted = own.groupBy("doc_id").agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1).alias("n"))
+    order = W.Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    fitting = stored(counted.select("doc_id", F.sum("n").over(order).alias("upto"), F.row_number().over(order).alias("place")).where((F.col("upto") <= lines) | (F.col("place") == 1)).select("doc_id"), "quality-sample")
+    rows = own.join(F.broadcast(fitting), "doc_id").select("text", "label").mapInArrow(features, ddl).collect()
     if not rows:
         return fit(np.zeros((0, WIDTH)), np.zeros(0), np.zeros(0, int), np.zeros(0, int))
     rows.sort(key=lambda r: (r["label"], r["counts"], bytes(r["features"])))

@@ -12,8 +12,11 @@ least LEAST toxic documents and stand out from unlabelled text by LIFT of what a
 feature of toxic text alone would, whose rates differ by 1 / prior.
 
 Fitting takes at most POSITIVES toxic and UNLABELLED unlabelled documents (by
-smallest hash of their ids, so the choice doesn't depend on the partitioning).
-Scoring takes every document, whole.
+smallest hash of their ids, so the choice doesn't depend on the partitioning), and
+the ``most_features`` commonest of the features above: all three are parameters.
+Features are counted and chosen in tables; the driver receives the chosen ones and,
+of each document of the fit, which of them it has. Scoring takes every document,
+whole.
 
 Edge cases: null and empty texts have no features and get the score of the
 bias; without toxic examples all scores are the prior, or 0; documents with
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, scored_rows, words_of
+from .common import arrow_batch, arrow_schema, scored_rows, stored, words_of
 from .labels import sampled
 
 POSITIVES, UNLABELLED = 3000, 10_000
@@ -119,28 +122,44 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(index, weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_features: int = MOST_FEATURES) -> Model:
     """Fits on toxic documents among the labelled ones that pass ``keep`` and on
     documents taken without their labels. The prior is the share of toxic ones
-    among those labelled and kept. Feature hashes, not texts, reach the driver."""
+    among those labelled and kept."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep)
     n, n_toxic = chosen.agg(F.count("*"), F.sum(label)).first()
     toxic = sampled(labels.where(F.col(label) == 1), label, positives, keep).select("doc_id", F.lit(1).alias("_toxic"))
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     wanted = toxic.join(some.withColumn("_any", F.lit(1)), "doc_id", "full").select("doc_id", F.col("_toxic").isNotNull().alias("toxic"), F.col("_any").isNotNull().alias("free"))
-    ddl = "doc_id long, toxic boolean, free boolean, features binary"
+    ddl = "toxic boolean, free boolean, features array<long>"
     schema = arrow_schema(ddl)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array(sorted(set(chain.from_iterable(map(word_features, set(words_of(t)))))), np.uint32).tobytes() for t in batch.column(3).to_pylist()]
-            yield arrow_batch(schema, [batch.column(0), batch.column(1), batch.column(2), found])
+            found = [sorted(set(chain.from_iterable(map(word_features, set(words_of(t)))))) for t in batch.column(2).to_pylist()]
+            yield arrow_batch(schema, [batch.column(0), batch.column(1), found])
 
     # Both samples are bounded, so they are broadcast.
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "toxic", "free", "text").mapInArrow(features, ddl).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
-    of = lambda kind: [np.frombuffer(bytes(r["features"]), np.uint32) for r in rows if r[kind]]
-    return fit(of("toxic"), of("free"), min(max((n_toxic or 0) / max(n, 1), 1e-4), 0.9999))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted), "doc_id").select("toxic", "free", "text")
+    rows = stored(rows.mapInArrow(features, ddl), "toxic-features")
+    prior = min(max((n_toxic or 0) / max(n, 1), 1e-4), 0.9999)
+    n_p, n_u = rows.agg(F.count_if("toxic"), F.count_if("free")).first()
+    # What ``fit`` would choose, so that no other feature has to reach it.
+    df = rows.select("toxic", "free", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("toxic").alias("p"), F.count_if("free").alias("u"))
+    lift = (F.col("p") / max(n_p, 1)) / ((F.col("u") + 0.5) / max(n_u, 1))
+    good = df.where((F.col("p") >= LEAST) & (lift >= LIFT / prior)).orderBy(F.desc("p"), "f").limit(most_features).select("f").collect()
+    chosen = np.array(sorted(r["f"] for r in good), np.int64)
+    slim = arrow_schema("toxic boolean, free boolean, features binary")
+
+    def slimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(np.array(x, np.int64), chosen, assume_unique=True).astype(np.uint32).tobytes() for x in batch.column(2).to_pylist()]
+            yield arrow_batch(slim, [batch.column(0), batch.column(1), own])
+
+    kept = rows.mapInArrow(slimmed, "toxic boolean, free boolean, features binary").collect()
+    kept.sort(key=lambda r: bytes(r["features"]))
+    of = lambda kind: [np.frombuffer(bytes(r["features"]), np.uint32) for r in kept if r[kind]]
+    return fit(of("toxic"), of("free"), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
