@@ -28,7 +28,7 @@ that cover such a radius would receive nearly every fingerprint, so candidates c
 from MinHash here. Texts of equal sets form a class. Classes meet where all
 KEY_HASHES MinHashes of one of KEYS keys agree, which a pair of similarity 0.8
 misses with a probability of (1 - 0.8**4)**20, 3 in 100,000, and a closer one more
-rarely. What meets is checked on its exact sets: first each member with the one
+rarely. What meets is checked on its sets of shingle hashes: first each member with the one
 hub that most of its keys name; then, of keys whose members are not yet one
 component, everything across components, inside a task. A key with many shingles
 is dealt in blocks and every two of its blocks meet in a task of their own, so no
@@ -261,8 +261,20 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, ddl)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted shingle hashes: of two sets of 500, one pair of
+    different shingles in four million sets agrees there."""
+    return np.ascontiguousarray((hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return np.unique(out.view("<u8").ravel())
+
+
 def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """same, keys, set (its shingle hashes, sorted) of the texts of documents in
+    """same, keys, set (its shingle hashes, ``packed``) of the texts of documents in
     ``reps`` (doc_id), stored."""
     ddl = "same binary, keys array<long>, set binary"
     schema = arrow_schema(ddl)
@@ -272,7 +284,7 @@ def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 own = shingle_set(text, width)
                 if len(own):
-                    yield arrow_batch(schema, [[xxhash.xxh128_digest(own.tobytes())], minhash_keys([own]).tolist(), [own.tobytes()]])
+                    yield arrow_batch(schema, [[xxhash.xxh128_digest(own.tobytes())], minhash_keys([own]).tolist(), [packed(own)]])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(reps, "doc_id", "left_semi").select("text")
     found = texts.mapInArrow(each, ddl)
@@ -293,7 +305,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             near = []
             for x, y in zip(batch.column("set"), batch.column("hub_set"), strict=True):
-                own, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                own, other = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 near.append(common >= least * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
@@ -347,7 +359,7 @@ def open_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if len(rows) > 1:
             key, side, reps, roots = (rows.column(c).to_numpy() for c in ("key", "side", "rep", "root"))
             keys = np.array(rows.column("keys").to_pylist(), np.int64)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+            sets = [unpacked(x.as_buffer()) for x in rows.column("set")]
             found = links_across(int(key[0]), side, reps, roots, keys, sets, least)
             if found:
                 yield arrow_batch(schema, list(zip(*found, strict=True)))
@@ -381,7 +393,9 @@ def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = LEAST
     met = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), hub).where("size > 1")
     met = stored(met.select("key", "size", "mass", F.col("hub.same").alias("hub"), F.col("hub.rep").alias("b"), F.col("hub.n").alias("m")), "copy-keys")
     members = stored(join_groups(stored(keyed.join(met.select("key"), "key", "left_semi"), "copy-met"), met, "key", "size"), "copy-members")
-    sets = class_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width)
+    # Stored, so that its size is known and it is broadcast where that is small.
+    asked = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "copy-asked")
+    sets = class_sets(docs, asked, width)
     # Sets whose sizes are further apart than ``least`` can't be that similar.
     fit = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
     named = members.where((F.col("same") != F.col("hub")) & fit).groupBy("same", "rep", "hub", "b").agg(F.count("*").alias("times"))
