@@ -162,15 +162,17 @@ class Model:
         (which tokens, chosen child, rows of the table, scores, their exponentials and
         these's sums). Weights are bounded, so the exponentials are as well. Sums go
         without the linear algebra library, whose threads would crowd a worker's core."""
-        token, features, own = ids[at], self.features(ids, at), np.arange(len(at))
+        # The deepest leaves first, so that those left at a depth are a slice.
+        depth = self.depth[ids[at]]
+        own = np.argsort((255 - depth).astype(np.uint8), kind="stable")
+        left = len(at) - np.cumsum(np.bincount(depth, minlength=len(self.classes) + 1))
+        at = at[own]
+        token, features = ids[at], self.features(ids, at)
         shift = np.uint64(65 - self.rows.bit_length())
-        for d in range(len(self.classes)):
-            deeper = np.flatnonzero(self.depth[token] > d)
-            if not len(deeper):
+        for d, n in enumerate(left[:-1]):
+            if not n:
                 return
-            if len(deeper) < len(token):
-                token, own = token[deeper], own[deeper]
-                features = [f[deeper] for f in features]
+            token, own, features = token[:n], own[:n], [f[:n] for f in features]
             classes = self.classes[d][token]
             salt = classes.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
             rows = [(((f ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> shift).view(np.int64) for f in features]
@@ -192,13 +194,15 @@ class Model:
 
     def add_sums(self, ids: np.ndarray, at: np.ndarray, expected: np.ndarray, occurring: np.ndarray | None) -> None:
         """Adds how often each child is expected at each row and, if asked, occurs."""
-        pairs, steps = expected.view(np.complex64), np.arange(FAN // 2)  # two 32-bit floats are added at a time
-        places = np.empty((len(at), len(steps)), np.int64)
+        pairs, wide = expected.view(np.complex64), FAN // 2  # two 32-bit floats are added at a time
+        places = np.empty((len(at), wide), np.int64)
         for _, child, rows, _, powers, sums in self.choices(ids, at):
             powers /= sums[:, None]
             added, index = powers.reshape(-1).view(np.complex64), places[: len(child)]
             for r in rows:
-                np.add((r * len(steps))[:, None], steps, out=index)
+                first = r * wide
+                for k in range(wide):  # a column each: rows this short are slow to broadcast
+                    np.add(first, k, out=index[:, k])
                 np.add.at(pairs, index.reshape(-1), added)
                 if occurring is not None:
                     np.add.at(occurring, r * FAN + child, np.float32(1))
@@ -271,13 +275,13 @@ PARTS = 32
 
 
 def _short(x: np.ndarray) -> bytes:
-    """Floats rounded to their upper 16 bits, packed."""
+    """Floats rounded to their upper 16 bits."""
     bits = x.astype(np.float32).view(np.uint32)
-    return zlib.compress(((bits + 0x8000) >> 16).astype(np.uint16).tobytes(), 1)
+    return ((bits + 0x8000) >> 16).astype(np.uint16).tobytes()
 
 
 def _long(data: bytes) -> np.ndarray:
-    return (np.frombuffer(zlib.decompress(data), np.uint16).astype(np.uint32) << 16).view(np.float32).astype(np.float64)
+    return (np.frombuffer(data, np.uint16).astype(np.uint32) << 16).view(np.float32).astype(np.float64)
 
 
 def _gather(ids: DataFrame, shared: _Shared, first: bool, rows: int) -> list[np.ndarray]:
