@@ -7,7 +7,7 @@ from itertools import permutations
 
 # ---- Fixed values: they must equal the published ones for equal results. ----
 ARABIC_FROM = "٠١٢٣٤٥٦٧٨٩آأإٱىئؤة"
-ARABIC_TO = "0123456789اااايي" + "وه"
+ARABIC_TO = "0123456789ااااييوه"
 DIACRITICS = "[ً-ٰٟـ]"
 ENGLISH_NOISE = (
     "AND PRICE DOSE DOS USE USES GENERIC FORTE TABLET TABLETS TAB TABS CAP CAPS CAPSULE SYRUP DROP DROPS MG MCG IU G GM ML VIAL AMP AMPOULE INJECTION PEN PENS"
@@ -47,10 +47,16 @@ UNIT_SUFFIX = "^[0-9]+(MG|MCG|G|GM|ML|L|IU|%)$"
 VOWELS = "AEIOUY"
 CONFUSION = "CKQ SZ FV PB DT GJ MN IEY OU"
 KEY_ROWS = "QWERTYUIOP ASDFGHJKL ZXCVBNM"
-KEY_EXTRA = (
-    "Q:A W:AS E:SD R:DF T:FG Y:GH U:HJ I:JK O:KL P:L A:QWZ S:QWEXZ D:WERFCX F:ERTGVC G:RTYHBV H:TYUJNB J:YUIKMN K:UIOLM L:OPK Z:ASX X:ASDCZ C:SDFVX V:DFGBC B:FGHNV N:GHJMB M:HJKN"
-)
-LOOKALIKES = "RN>M M>RN CL>D D>CL RI>N N>RI LI>H H>LI VV>W W>VV 0>O O>0 1>I I>1 1>L L>1 5>S S>5 8>B B>8 2>Z Z>2 6>G G>6"
+KEY_EXTRA = {
+    "Q": "A", "W": "AS", "E": "SD", "R": "DF", "T": "FG", "Y": "GH", "U": "HJ", "I": "JK", "O": "KL", "P": "L", "A": "QWZ", "S": "QWEXZ",
+    "D": "WERFCX", "F": "ERTGVC", "G": "RTYHBV", "H": "TYUJNB", "J": "YUIKMN", "K": "UIOLM", "L": "OPK", "Z": "ASX", "X": "ASDCZ", "C": "SDFVX",
+    "V": "DFGBC", "B": "FGHNV", "N": "GHJMB", "M": "HJKN",
+}
+LOOKALIKES = (
+    ("RN", "M"), ("M", "RN"), ("CL", "D"), ("D", "CL"), ("RI", "N"), ("N", "RI"), ("LI", "H"), ("H", "LI"), ("VV", "W"), ("W", "VV"), ("0", "O"),
+    ("O", "0"), ("1", "I"), ("I", "1"), ("1", "L"), ("L", "1"), ("5", "S"), ("S", "5"), ("8", "B"), ("B", "8"), ("2", "Z"), ("Z", "2"), ("6", "G"),
+    ("G", "6"),
+)
 WARNING_LABELS = {
     "NON_MEDICINE_OR_METADATA": "Not a medicine record", "UNKNOWN_ROUTE": "Unknown route", "MISSING_COMPOSITION": "Missing composition", "ROUTE_CONFLICT": "Route conflict",
     "QUALITY_REVIEW": "Review", "ILLEGAL_IMPORT": "Illegal import", "CANCELLED": "Cancelled", "N/A": "N/A",
@@ -93,14 +99,13 @@ class Lexicon:
         for row in KEY_ROWS.split():
             for i, key in enumerate(row):
                 found[key] = row[max(0, i - 1) : i + 2]
-        for item in KEY_EXTRA.split():
-            key, extra = item.split(":")
+        for key, extra in KEY_EXTRA.items():
             found[key] += extra
         return found
 
     @property
-    def lookalikes(self) -> list[tuple[str, str]]:
-        return [tuple(pair.split(">")) for pair in LOOKALIKES.split()]
+    def lookalikes(self) -> tuple[tuple[str, str], ...]:
+        return LOOKALIKES
 
 
 LEXICON = Lexicon()

@@ -1,9 +1,10 @@
 """Candidate generation (J1-J19): equi-joins of query keys with postings.
 
 A probe is a row (query_id, kind, key). The original stops probing once enough
-records are found, by limits on running counts that depend on record order;
-here every probe runs, so the candidates are a superset. ``MAX_BUCKET`` is the
-one limit kept: a deletion key shared by more records than that says nothing.
+records are found, by limits on running counts that depend on record order, and
+skips deletion keys of many records; here every probe runs whole, so the
+candidates are a superset. Queries that find fewer than FEW records are given all
+family heads of their length as well.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..functions.lexicon import LEXICON
 from ..functions.similarity import bounded_levenshtein
 from .postings import document_frequency, union_all
 
-MAX_BUCKET = 600
+FEW = 20
 
 
 def _cut(c, n: int = 12):
@@ -88,15 +89,13 @@ def length_bands(q: DataFrame, prepared: DataFrame) -> DataFrame:
 def candidates(q: DataFrame, prepared: DataFrame, posted: DataFrame) -> DataFrame:
     """Distinct (query_id, candidate_id) of all probes."""
     wanted = probes(q).unionByName(rarest_grams(q, posted))
-    # Deletion keys that say nothing are left out before the join.
-    idle = document_frequency(posted.where("kind = 'delete'")).where(F.col("df") > MAX_BUCKET).select("kind", "key")
-    found = wanted.join(idle, ["kind", "key"], "left_anti").join(posted, ["kind", "key"]).select("query_id", "candidate_id")
-    return found.unionByName(length_bands(q, prepared)).distinct()
+    found = wanted.join(posted, ["kind", "key"]).select("query_id", "candidate_id").unionByName(length_bands(q, prepared)).distinct()
+    answered = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).select("query_id")
+    return found.unionByName(same_length_heads(q.join(answered, "query_id", "left_anti"), prepared)).distinct()
 
 
 def same_length_heads(q: DataFrame, prepared: DataFrame) -> DataFrame:
-    """J16's second half: all family heads of the query's length; only of use
-    for queries that nothing else answers."""
+    """J16's second half: all family heads of the query's length."""
     heads = prepared.where(F.col("head_family")).select("candidate_id", F.length("headc").alias("len"))
     return q.where(F.length("qc").between(4, 18)).select("query_id", F.length("qc").alias("len")).join(heads, "len").select("query_id", "candidate_id")
 
