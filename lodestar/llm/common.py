@@ -3,48 +3,20 @@ tables written there, and words as the contracts define them."""
 
 from __future__ import annotations
 
-import atexit
 import os
 import shutil
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder, shared_dir, stored  # noqa: F401
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as
-    the session has it. Only where it is unset, as in tests on one machine, a
-    temporary folder takes its place and is removed at exit."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not path:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        context.setCheckpointDir(path)
-        atexit.register(shutil.rmtree, urlparse(path).path, ignore_errors=True)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its
-    lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     return parts.path if parts.scheme in ("", "file") else None

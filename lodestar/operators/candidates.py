@@ -5,6 +5,10 @@ records are found, by limits on running counts that depend on record order, and
 skips deletion keys of many records; here every probe runs whole, so the
 candidates are a superset. Queries that find fewer than FEW records are given all
 family heads of their length as well.
+
+Spark goes by the size of a catalogue's files, which knows neither of the keys that
+a record is exploded to nor of compression, and would broadcast all postings through
+the driver. So probes are stored and counted, and only they are ever broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +24,14 @@ from ..functions.similarity import bounded_levenshtein
 from .postings import document_frequency, union_all
 
 FEW = 20
+#: Probes up to which they are broadcast: some 10 MB.
+MOST_PROBES = 100_000
+
+
+def meet(asking: DataFrame, rows: DataFrame, on: list[str], most: int = MOST_PROBES) -> DataFrame:
+    """Inner join of ``asking``, a stored table, with rows of a catalogue: at most
+    ``most`` of ``asking`` are broadcast, more meet the rows by a shuffle."""
+    return rows.join(F.broadcast(asking) if asking.count() <= most else asking.hint("merge"), on)
 
 
 def _cut(c, n: int = 12):
@@ -97,6 +109,4 @@ def candidates(q: DataFrame, prepared: DataFrame, posted: DataFrame) -> DataFram
 def same_length_heads(q: DataFrame, prepared: DataFrame) -> DataFrame:
     """J16's second half: all family heads of the query's length."""
     heads = prepared.where(F.col("head_family")).select("candidate_id", F.length("headc").alias("len"))
-    return q.where(F.length("qc").between(4, 18)).select("query_id", F.length("qc").alias("len")).join(heads, "len").select("query_id", "candidate_id")
-
-
+    return q.where(F.length("qc").between(4, 18)).select("query_id", F.length("qc").alias("len")).join(heads, "len").select("query_id", "candidate_id")
\ No newline at end of file

@@ -20,6 +20,7 @@ from .operators.postings import document_frequency, postings
 from .operators.query import analyze
 from .plans.search import Catalog, pair, search_batch
 from .sources import catalog as C
+from .sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -320,8 +321,8 @@ def gram_df(spark, d):
 
 
 def _probe_join(spark, d, kinds: list[str]) -> DataFrame:
-    wanted = J.probes(analyze(asked(spark))).where(F.col("kind").isin(*kinds))
-    return wanted.join(postings(prepared(spark, d), kinds), ["kind", "key"]).select("query_id", "candidate_id").distinct()
+    wanted = stored(J.probes(analyze(asked(spark))).where(F.col("kind").isin(*kinds)), "probes")
+    return J.meet(wanted, postings(prepared(spark, d), kinds), ["kind", "key"]).select("query_id", "candidate_id").distinct()
 
 
 @query(f"""WITH {O.PREPARED.strip()}, {ANALYZED_SQL}, keys AS (SELECT query_id, unnest(list_concat([qn, qc], q_visual)) AS key FROM aq)
