@@ -21,6 +21,7 @@ from ..functions.keys import confusable_with, deletes, first, first_letter_varia
 from ..functions.normalize import alias_target, is_generic, mapping
 from ..functions.lexicon import LEXICON
 from ..functions.similarity import bounded_levenshtein
+from ..sources.shared import stored
 from .postings import document_frequency, union_all
 
 FEW = 20
@@ -73,14 +74,15 @@ def probes(q: DataFrame) -> DataFrame:
 def rarest_grams(q: DataFrame, posted: DataFrame) -> DataFrame:
     """Of a query's grams that occur, the four rarest 4-grams, the five
     rarest 3-grams, and each probing token's rarest 3-gram."""
-    df = document_frequency(posted.where(F.col("kind").isin("grams", "grams4")))
     long = F.length("qc") >= 3
     source = lambda kind, most, text, grams: F.struct(F.lit(kind).alias("kind"), F.lit(most).alias("most"), text.alias("t"), grams.alias("grams"))
     whole = F.array(source("grams4", 4, F.lit(""), F.when(long, ngrams("qc", 4))), source("grams", 5, F.lit(""), F.when(long, ngrams("qc", 3))))
     single = F.when(F.size("q_tokens") <= 3, F.transform(F.filter(F.array_distinct(probing_tokens()), lambda t: F.length(t) >= 3), lambda t: source("grams", 1, t, ngrams(t, 3))))
     rows = q.select("query_id", F.explode(F.concat(whole, F.coalesce(single, F.slice(whole, 1, 0)))).alias("s")).select("query_id", "s.kind", "s.most", "s.t", F.posexplode("s.grams").alias("at", "key"))
+    rows = stored(rows, "grams")
+    df = document_frequency(meet(stored(rows.select("kind", "key").distinct(), "gram-keys"), posted, ["kind", "key"]))
     rank = F.row_number().over(W.Window.partitionBy("query_id", "kind", "t").orderBy("df", "at"))
-    return rows.join(df, ["kind", "key"]).withColumn("r", rank).where("r <= most").select("query_id", "kind", "key").distinct()
+    return meet(rows, df, ["kind", "key"]).withColumn("r", rank).where("r <= most").select("query_id", "kind", "key").distinct()
 
 
 def length_bands(q: DataFrame, prepared: DataFrame) -> DataFrame:

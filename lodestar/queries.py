@@ -357,7 +357,8 @@ r AS (SELECT e.*, row_number() OVER (PARTITION BY query_id, kind, t ORDER BY df,
 SELECT DISTINCT query_id, candidate_id FROM r JOIN g USING (kind, key) WHERE r <= most""")
 def candidates_rarest_gram(spark, d):
     posted = postings(prepared(spark, d), ["grams", "grams4"])
-    return J.rarest_grams(analyze(asked(spark)), posted).join(posted, ["kind", "key"]).select("query_id", "candidate_id").distinct()
+    wanted = stored(J.rarest_grams(analyze(asked(spark)), posted), "probes")
+    return J.meet(wanted, posted, ["kind", "key"]).select("query_id", "candidate_id").distinct()
 
 
 @query(f"""WITH {O.PREPARED.strip()}, {ANALYZED_SQL},
