@@ -94,16 +94,18 @@ def length_bands(q: DataFrame, prepared: DataFrame) -> DataFrame:
     band = lambda k, most: q.where(n.between(4, most)).select("query_id", "qc", F.explode(F.sequence(F.greatest(F.lit(1), n - k), n + k)).alias("len"), letters.alias("letters")).withColumn("letter", F.explode("letters")).drop("letters")
     heads = prepared.where(F.col("head_family") & (F.col("headc") != "")).select("candidate_id", "headc", F.length("headc").alias("len"), first("headc").alias("letter"))
     bases = prepared.where("bc <> ''").select("candidate_id", "bc", F.length("bc").alias("len"), first("bc").alias("letter"))
-    near = band(2, 18).join(heads, ["len", "letter"]).where(bounded_levenshtein("qc", "headc", 2).isNotNull())
-    rescue = band(3, 12).join(bases, ["len", "letter"])
-    same = q.where(n.between(4, 18)).select("query_id", "qc", n.alias("len")).join(bases.drop("letter"), "len").where(keyboard_ratio("qc", "bc") >= 0.68)
+    near = meet(stored(band(2, 18), "bands"), heads, ["len", "letter"]).where(bounded_levenshtein("qc", "headc", 2).isNotNull())
+    rescue = meet(stored(band(3, 12), "bands"), bases, ["len", "letter"])
+    same = meet(stored(q.where(n.between(4, 18)).select("query_id", "qc", n.alias("len")), "bands"), bases.drop("letter"), ["len"]).where(keyboard_ratio("qc", "bc") >= 0.68)
     return union_all([x.select("query_id", "candidate_id") for x in (near, rescue, same)])
 
 
 def candidates(q: DataFrame, prepared: DataFrame, posted: DataFrame) -> DataFrame:
     """Distinct (query_id, candidate_id) of all probes."""
-    wanted = probes(q).unionByName(rarest_grams(q, posted))
-    found = wanted.join(posted, ["kind", "key"]).select("query_id", "candidate_id").unionByName(length_bands(q, prepared)).distinct()
+    q = stored(q, "asked")
+    wanted = stored(probes(q).unionByName(rarest_grams(q, posted)), "probes")
+    found = meet(wanted, posted, ["kind", "key"]).select("query_id", "candidate_id").unionByName(length_bands(q, prepared))
+    found = stored(found.distinct(), "candidates")
     answered = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).select("query_id")
     return found.unionByName(same_length_heads(q.join(answered, "query_id", "left_anti"), prepared)).distinct()
 
@@ -111,4 +113,5 @@ def candidates(q: DataFrame, prepared: DataFrame, posted: DataFrame) -> DataFram
 def same_length_heads(q: DataFrame, prepared: DataFrame) -> DataFrame:
     """J16's second half: all family heads of the query's length."""
     heads = prepared.where(F.col("head_family")).select("candidate_id", F.length("headc").alias("len"))
-    return q.where(F.length("qc").between(4, 18)).select("query_id", F.length("qc").alias("len")).join(heads, "len").select("query_id", "candidate_id")
\ No newline at end of file
+    asking = q.where(F.length("qc").between(4, 18)).select("query_id", F.length("qc").alias("len"))
+    return meet(stored(asking, "lengths"), heads, ["len"]).select("query_id", "candidate_id")

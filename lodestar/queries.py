@@ -372,7 +372,7 @@ def candidates_length_band(spark, d):
 
 @query()
 def candidates_union(spark, d):
-    cat = prepared(spark, d)
+    cat = stored(prepared(spark, d), "catalog")
     return J.candidates(analyze(asked(spark)), cat, postings(cat))
 
 
