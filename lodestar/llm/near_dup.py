@@ -180,14 +180,16 @@ def links(classes: DataFrame) -> DataFrame:
 
     own = classes.where("rep is not null").select("fp", "rep")
     resident = stored(own.mapInArrow(lambda x: settle(x, False), ddl), "residents")
+    # A fingerprint visits many anchors, which Spark's estimates don't know: neither
+    # side of these joins is small enough to be broadcast because its files are.
     visitor = own.mapInArrow(lambda x: settle(x, True), ddl)
     near = f"h.fp < v.fp and bit_count(h.fp ^ v.fp) <= {THRESHOLD}"
     pair = F.col("h.rep").alias("a"), F.col("v.rep").alias("b")
     full = resident.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_RESIDENTS).select("anchor")
     full = stored(full, "full-anchors")
     if full.isEmpty():
-        return resident.alias("h").join(visitor.alias("v"), F.expr(f"h.anchor = v.anchor and {near}")).select(*pair)
-    others = resident.join(full, "anchor", "left_anti").alias("h").join(visitor.alias("v"), F.expr(f"h.anchor = v.anchor and {near}")).select(*pair)
+        return resident.hint("merge").alias("h").join(visitor.alias("v"), F.expr(f"h.anchor = v.anchor and {near}")).select(*pair)
+    others = resident.join(full, "anchor", "left_anti").hint("merge").alias("h").join(visitor.alias("v"), F.expr(f"h.anchor = v.anchor and {near}")).select(*pair)
 
     def thirds(rows: DataFrame) -> DataFrame:
         """Each fingerprint under every third of its bits beyond the blocks."""
@@ -197,7 +199,7 @@ def links(classes: DataFrame) -> DataFrame:
 
     # A pair that agrees in several thirds is taken from the first of them.
     first = " and ".join(f"(h.k <= {k} or ((h.fp ^ v.fp) >>> {2 * BLOCK + 6 * k}) & 63 != 0)" for k in range(2))
-    split = thirds(resident).alias("h").join(thirds(visitor).alias("v"), F.expr(f"h.anchor = v.anchor and h.k = v.k and h.part = v.part and {near} and {first}"))
+    split = thirds(resident).hint("merge").alias("h").join(thirds(visitor).alias("v"), F.expr(f"h.anchor = v.anchor and h.k = v.k and h.part = v.part and {near} and {first}"))
     return others.unionByName(split.select(*pair))
 
 
@@ -351,7 +353,7 @@ def open_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Of several blocks each two meet, and a block meets itself.
     dealt = own.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "root", "same")
-    dealt = dealt.join(sets, "same").drop("same").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = dealt.join(sets.hint("merge"), "same").drop("same").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     schema = arrow_schema("a long, b long")
 
     def compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
