@@ -15,6 +15,8 @@ from ..sources.shared import new_folder, shared_dir, stored  # noqa: F401
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch whose texts are held as Python objects at once.
+SLICE_ROWS = 1024
 
 
 def _local(uri: str) -> str | None:
@@ -112,6 +114,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share:
     return spread.unionByName(others)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers serve stage after stage and
+    would otherwise hold the peak of each."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
+    if trim:
+        trim(0)
+
+
 def scored_rows(docs: DataFrame, passes) -> DataFrame:
     """The rows of ``docs`` for whose texts ``passes``, a function from a list of
     texts to an array of booleans, is true; every column as it was."""
@@ -121,6 +136,9 @@ def scored_rows(docs: DataFrame, passes) -> DataFrame:
 
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array(passes(batch.column(at).to_pylist()), pa.bool_()))
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
+                yield part.filter(pa.array(passes(part.column(at).to_pylist()), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(each, docs.schema)

@@ -202,7 +202,7 @@ def block_scores(texts: list[str | None], model: Chain) -> np.ndarray:
     data, out, at = [utf8(t) for t in texts], [], 0
     while at < len(data):
         end, held = at + 1, len(data[at])
-        while end < len(data) and held + len(data[end]) < 1 << 21:
+        while end < len(data) and held + len(data[end]) < 1 << 19:
             held += len(data[end])
             end += 1
         out.append(model.score(*line_features(data[at:end])))
