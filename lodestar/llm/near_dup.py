@@ -24,8 +24,9 @@ they agree in one of three.
 Near copies (``near_copies``, for the pipeline) are another relation: texts whose
 sets of five-word shingles have a Jaccard similarity of LEAST or more. At 0.8 two
 fingerprints differ in some ten of 64 bits, sixteen and more at times; anchors
-that cover such a radius would receive nearly every fingerprint, so candidates come
-from MinHash here. Texts of equal sets form a class. Classes meet where all
+that cover such a radius would receive nearly every fingerprint. So fingerprints of the
+sets within THRESHOLD bits, found by the anchors, are candidates, and the pairs beyond
+that radius come from MinHash. Texts of equal sets form a class. Classes meet where all
 KEY_HASHES MinHashes of one of KEYS keys agree, which a pair of similarity 0.8
 misses with a probability of (1 - 0.8**4)**20, 3 in 100,000, and a closer one more
 rarely. What meets is checked on its sets of shingle hashes: first each member with the one
@@ -54,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, join_groups, stored, words_of
+from .common import arrow_batch, arrow_schema, give_back, join_groups, stored, words_of
 from .graph import components
 
 THRESHOLD, RADIUS, BLOCK, GENERATOR = 2, 3, 23, 0b110001110101
@@ -243,8 +244,9 @@ def minhash_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, same (a digest of the text's shingle set), n (its size), keys."""
-    ddl = "doc_id long, same binary, n long, keys array<long>"
+    """doc_id, same (a digest of the text's shingle set), n (its size), keys, fp (its
+    fingerprint)."""
+    ddl = "doc_id long, same binary, n long, keys array<long>, fp long"
     schema = arrow_schema(ddl)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +259,9 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     held += part[-1].nbytes
                 some = [s for s in part if len(s)]
                 found = iter(minhash_keys(some).tolist() if some else [])
-                yield arrow_batch(schema, [ids.slice(at, len(part)), [xxhash.xxh128_digest(s.tobytes()) for s in part], [len(s) for s in part], [next(found) if len(s) else [] for s in part]])
+                yield arrow_batch(schema, [ids.slice(at, len(part)), [xxhash.xxh128_digest(s.tobytes()) for s in part], [len(s) for s in part], [next(found) if len(s) else [] for s in part], majority([s.astype(">u8").tobytes() for s in part]).view(np.int64)])
                 at += len(part)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(each, ddl)
 
@@ -287,6 +290,7 @@ def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                 own = shingle_set(text, width)
                 if len(own):
                     yield arrow_batch(schema, [[xxhash.xxh128_digest(own.tobytes())], minhash_keys([own]).tolist(), [packed(own)]])
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(reps, "doc_id", "left_semi").select("text")
     found = texts.mapInArrow(each, ddl)
@@ -311,6 +315,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 near.append(common >= least * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+        give_back()
 
     return met.mapInArrow(each, "a long, b long")
 
@@ -385,24 +390,38 @@ def open_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(each, "a long, b long")
 
 
+def print_pairs(classes: DataFrame) -> DataFrame:
+    """rep, other: classes whose fingerprints link: those of equal ones with the
+    first of them, and the first ones of fingerprints within THRESHOLD bits."""
+    own = classes.where("rep is not null and n > 0").select("fp", "rep")
+    prints = stored(own.groupBy("fp").agg(F.min("rep").alias("rep")), "copy-prints")
+    equal = own.join(prints.withColumnRenamed("rep", "other"), "fp").where("rep != other").select("rep", "other")
+    return equal.unionByName(links(prints).select(F.col("a").alias("rep"), F.col("b").alias("other")))
+
+
 def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = LEAST) -> DataFrame:
     """doc_id, component_id, class_size of every document; components of texts
     whose shingle sets have a Jaccard similarity of ``least`` or more."""
     rows = stored(shingle_sets(docs, width), "shingle-sets")
-    classes = stored(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-classes")
+    classes = stored(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "copy-classes")
     keyed = classes.where("rep is not null").select("same", "rep", "n", F.explode("keys").alias("key"))
     hub = F.min(F.struct(F.xxhash64("same").alias("h"), "same", "rep", "n")).alias("hub")
     met = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), hub).where("size > 1")
     met = stored(met.select("key", "size", "mass", F.col("hub.same").alias("hub"), F.col("hub.rep").alias("b"), F.col("hub.n").alias("m")), "copy-keys")
     members = stored(join_groups(stored(keyed.join(met.select("key"), "key", "left_semi"), "copy-met"), met, "key", "size"), "copy-members")
-    # Stored, so that its size is known and it is broadcast where that is small.
-    asked = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "copy-asked")
-    sets = class_sets(docs, asked, width)
     # Sets whose sizes are further apart than ``least`` can't be that similar.
     fit = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
+    side = classes.where("n > 0").select("rep", "same", "n")
+    printed = print_pairs(classes).join(side, "rep").join(side.toDF("other", "hub", "m"), "other").where(fit)
+    printed = stored(printed.select("same", F.col("rep").alias("a"), "hub", F.col("other").alias("b")), "copy-printed")
+    # Stored, so that its size is known and it is broadcast where that is small.
+    ids = members.select("rep").union(printed.select("a")).union(printed.select("b")).toDF("doc_id")
+    asked = stored(ids.distinct(), "copy-asked")
+    sets = class_sets(docs, asked, width)
     named = members.where((F.col("same") != F.col("hub")) & fit).groupBy("same", "rep", "hub", "b").agg(F.count("*").alias("times"))
     one = F.max(F.struct("times", "hub", "b")).alias("one")
-    pairs = stored(named.groupBy("same", "rep").agg(one).select("same", F.col("rep").alias("a"), "one.hub", "one.b"), "copy-pairs")
+    hubbed = named.groupBy("same", "rep").agg(one).select("same", F.col("rep").alias("a"), "one.hub", "one.b")
+    pairs = stored(hubbed.unionByName(printed).distinct(), "copy-pairs")
     edges = stored(hub_links(pairs, sets, least).unionByName(same_id_links(rows, classes, "same")), "copy-links")
     roots = components(edges).withColumnRenamed("node", "rep")
     rooted = stored(members.join(roots, "rep", "left").select("key", "same", "rep", "mass", F.coalesce("root", "rep").alias("root")), "copy-roots")
