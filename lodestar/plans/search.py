@@ -8,13 +8,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.candidates import candidates
+from ..operators.candidates import candidates, meet
 from ..operators.decide import clarify, project, risk, summarize
 from ..operators.postings import postings
 from ..operators.query import analyze
 from ..operators.rank import rank
 from ..operators.score import score
 from ..sources.catalog import prefix_danger, prepare_catalog, queries_frame, short_registry
+from ..sources.shared import stored
 
 #: Queries of a batch up to which they are broadcast, as only a side of checked
 #: size is; larger batches meet the catalogue in blocks of about so many.
@@ -68,8 +69,10 @@ def pair(catalog: Catalog, queries: DataFrame, exhaustive: bool = True) -> DataF
             return catalog.records.crossJoin(F.broadcast(queries))
         blocks = queries.repartition(-(-n // EXHAUSTIVE_QUERIES))
         return catalog.records.crossJoin(blocks.hint("shuffle_replicate_nl"))
-    found = candidates(queries, catalog.records, catalog.postings)
-    return found.join(queries, "query_id").join(catalog.records, "candidate_id")
+    queries = stored(queries, "asked")
+    found = stored(candidates(queries, catalog.records, catalog.postings), "candidates")
+    # Records are wider than their files tell, so they are never broadcast.
+    return meet(queries, found, ["query_id"], EXHAUSTIVE_QUERIES).join(catalog.records.hint("merge"), "candidate_id")
 
 
 @dataclass

@@ -546,7 +546,7 @@ def search_results(spark, d):
 @query()
 def search_blocked(spark, d):
     """The same by posting joins, as for large batches."""
-    return search_batch(Catalog(prepared(spark, d)).cached(), asked(spark), exhaustive=False).results
+    return search_batch(Catalog(stored(prepared(spark, d), "catalog")), asked(spark), exhaustive=False).results
 
 
 @query()
