@@ -27,9 +27,12 @@ first round, which starts from unigram rates) times the log ratio of the two, th
 step of iterative scaling, which has the gradient's sign and is bounded. Rounds
 read the head ids of the texts, stored once, and not the texts. The tasks' sums travel as 16-bit floats and are added up by block of the table.
 
-Scoring. Texts are scored in numpy batches; tokens outside the head go, once a
-text, through a join with the counts. A token there makes up less than 1/HEAD
-of the training tokens, so no key of that join is hot.
+Scoring. Texts are scored in numpy batches. The head and the most frequent tokens after
+it, HEAD in all and KNOWN_BYTES long at most, are known to every task with their counts;
+all others go, once a text, through a join with the counts. A token there makes up less
+than 1/HEAD of the training tokens, so no key of that join is hot.
+
+Words are divided, counted and looked up in Arrow arrays, never as Python objects.
 
 Edge cases: null and empty texts are the end token alone; without training
 texts every token is unseen, and base and score are equal; rows that repeat an
@@ -44,46 +47,70 @@ import heapq
 import pickle
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, stored, words_of
+from .common import arrow_batch, arrow_schema, give_back, stored
 
-HEAD, FAN = 1_000_000, 8
+HEAD, KNOWN_BYTES, FAN = 1_000_000, 1 << 25, 8
 ROW_TOKENS, LEAST_ROWS, MOST_ROWS = 1 << 9, 1 << 17, 1 << 21
 ROUNDS, PRIOR, FIRST_RATE, RATE, MOST_WEIGHT = 3, 5.0, 0.5, 0.35, 12.0
-#: Distinct tokens that a task counts before it passes them on; tokens in a numpy
-#: batch; tokens whose sums are held in 32 bits before they join the 64-bit ones.
-FLUSH, BATCH, SETTLE = 200_000, 1 << 15, 1 << 19
+#: Bytes of text that are divided into words at once; tokens in a numpy batch; tokens
+#: whose sums are held in 32 bits before they join the 64-bit ones.
+SLICE, BATCH, SETTLE = 1 << 24, 1 << 15, 1 << 19
 END = b""
 
 
+def runs_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of whole items of these sizes, each of about ``most``
+    together; an item that is larger ends a run."""
+    if len(sizes):
+        starts = np.cumsum(sizes) - sizes
+        cuts = np.flatnonzero(np.diff(starts // most)) + 1
+        yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True)
+
+
+def divided(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """Runs of whole texts: first, end, their words one after another as ``words_of``
+    gives them, and how many each text has. Arrow's functions for ASCII take A-Z and
+    exactly the six characters that WORD excludes; they leave blanks at a text's ends."""
+    for first, end in runs_of(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), SLICE):
+        part = texts.slice(first, end - first).cast(pa.string()).fill_null("")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        words, offsets = lists.flatten(), lists.offsets.to_numpy()
+        filled = pc.binary_length(words).to_numpy() > 0
+        if not filled.all():
+            words, offsets = words.filter(pa.array(filled)), np.append(0, np.cumsum(filled))[offsets]
+        yield first, end, words.view(pa.binary()), np.diff(offsets).astype(np.int64)
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token, c over all of ``docs``."""
     schema = arrow_schema("token binary, c long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                seen[END] += 1
-                if len(seen) > FLUSH:
-                    yield arrow_batch(schema, [list(seen), list(seen.values())])
-                    seen.clear()
-        if seen:
-            yield arrow_batch(schema, [list(seen), list(seen.values())])
+            for first, end, words, _ in divided(batch.column(0)):
+                found = words.value_counts()
+                ends = pa.array([END], pa.binary()), pa.array([end - first], pa.int64())
+                yield arrow_batch(schema, [pa.concat_arrays(pair) for pair in zip(found.flatten(), ends, strict=True)])
+        give_back()
 
     return docs.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a table of FAN columns, copied 16 bytes at a time: numpy copies few long
+    items faster than many short ones."""
+    return table.view(np.complex128).take(at, axis=0, mode="clip").view(table.dtype)
+
+
 def class_tree(weights: list[float]) -> tuple[list[tuple], np.ndarray]:
     """Huffman's tree of FAN children a class over leaves of these weights: each
     leaf's path as (class, child) from the root, class 0, down; and each class's log
@@ -114,23 +141,25 @@ def class_tree(weights: list[float]) -> tuple[list[tuple], np.ndarray]:
 
 @dataclass
 class Model:
-    """tokens: the head by falling count. weights: a row of FAN for each hashed
-    (feature, class)."""
+    """tokens: the head by falling count. more: the other known tokens, by falling
+    count too. weights: a row of FAN for each hashed (feature, class)."""
 
-    tokens: list[bytes]
+    tokens: list[bytes] | pa.Array
     counts: np.ndarray
     total: int
     distinct: int
     rest_total: int
     rest_distinct: int
     rows: int = LEAST_ROWS
+    more: list[bytes] | pa.Array = ()
+    more_counts: np.ndarray = ()
     weights: np.ndarray = field(init=False)
 
     def __post_init__(self):
         n = len(self.tokens)
         self.rare, self.start = n, n + 1
-        self.ids = {t: i for i, t in enumerate(self.tokens)}
-        self.log_count = np.append(np.log10(self.counts + 1.0), 0.0)
+        self.known = pa.concat_arrays([pa.array(t, pa.binary()) for t in (self.tokens, self.more)])
+        self.log_count = np.append(np.log10(np.append(self.counts, self.more_counts) + 1.0), 0.0)
         self.log_rest = float(np.log10(self.rest_total + self.rest_distinct + 1))
         paths, self.rates = class_tree([*(self.counts + 1.0), self.rest_total + self.rest_distinct + 1.0])
         self.depth = np.array([len(p) for p in paths])
@@ -141,13 +170,25 @@ class Model:
                 self.classes[d, leaf], self.children[d, leaf] = at, child
         self.weights = np.zeros((self.rows, FAN), np.float32)
 
+    def places(self, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        """Places among the known tokens of the words and end tokens of texts with
+        so many words, -1 for others; -2 for the three start marks that lead each text."""
+        found = pc.index_in(pa.concat_arrays([words, pa.array([END], pa.binary())]), value_set=self.known).fill_null(-1).to_numpy()
+        ends = np.cumsum(sizes + 4)
+        out = np.full(int(sizes.sum()) + 4 * len(sizes), -2, np.int32)
+        out[np.arange(len(words)) + np.repeat(4 * np.arange(len(sizes)) + 3, sizes)] = found[:-1]
+        out[ends - 1] = found[-1]
+        return out
+
+    def head_ids(self, places: np.ndarray) -> np.ndarray:
+        """Head ids of tokens at these places; a start mark has one of its own."""
+        return np.where(places == -2, self.start, np.where((places < 0) | (places >= self.rare), self.rare, places))
+
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Head ids of the texts' words and end tokens, each text led by three
         start marks; which of them are tokens."""
-        get, out = self.ids.get, []
-        for words in texts:
-            out += [self.start, self.start, self.start, *map(get, words, repeat(self.rare)), get(END, self.rare)]
-        ids = np.array(out, np.int64)
+        words = pa.array([w for words in texts for w in words], pa.binary())
+        ids = self.head_ids(self.places(words, np.array([len(w) for w in texts], np.int64)))
         return ids, ids != self.start
 
     def features(self, ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -157,11 +198,12 @@ class Model:
         salted = ((a, 0x9E3779B97F4A7C15, 0), (b, 0xC2B2AE3D27D4EB4F, 1), (both, 0xD6E8FEB86659FD93, 2), (c, 0xA0761D6478BD642F, 3))
         return [key * np.uint64(factor) + np.uint64(salt << 40) for key, factor, salt in salted]
 
-    def choices(self, ids: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+    def choices(self, ids: np.ndarray, at: np.ndarray, flat: bool = False) -> Iterator[tuple]:
         """The choices that the tokens at ``at`` are made of, a depth at a time:
         (which tokens, chosen child, rows of the table, scores, their exponentials and
-        these's sums). Weights are bounded, so the exponentials are as well. Sums go
-        without the linear algebra library, whose threads would crowd a worker's core."""
+        these's sums). ``flat``: all weights are 0. Weights are bounded, so the
+        exponentials are as well. Sums go without the linear algebra library, whose
+        threads would crowd a worker's core."""
         # The deepest leaves first, so that those left at a depth are a slice.
         depth = self.depth[ids[at]]
         own = np.argsort((255 - depth).astype(np.uint8), kind="stable")
@@ -176,11 +218,10 @@ class Model:
             classes = self.classes[d][token]
             salt = classes.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
             rows = [(((f ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> shift).view(np.int64) for f in features]
-            scores = self.rates.take(classes, axis=0)
-            buffer = np.empty_like(scores)
-            for r in rows:
-                scores += self.weights.take(r, axis=0, out=buffer, mode="clip")
-            powers = np.exp(scores, out=buffer)
+            scores = rows_of(self.rates, classes)
+            for r in () if flat else rows:
+                scores += rows_of(self.weights, r)
+            powers = np.exp(scores)
             yield own, self.children[d][token], rows, scores, powers, np.einsum("ij->i", powers)
             features = features[:2]
 
@@ -193,40 +234,34 @@ class Model:
         return out / np.log(10) - np.where(ids[at] == self.rare, self.log_rest, 0.0)
 
     def add_sums(self, ids: np.ndarray, at: np.ndarray, expected: np.ndarray, occurring: np.ndarray | None) -> None:
-        """Adds how often each child is expected at each row and, if asked, occurs."""
-        pairs, wide = expected.view(np.complex64), FAN // 2  # two 32-bit floats are added at a time
-        places = np.empty((len(at), wide), np.int64)
-        for _, child, rows, _, powers, sums in self.choices(ids, at):
-            powers /= sums[:, None]
-            added, index = powers.reshape(-1).view(np.complex64), places[: len(child)]
-            for r in rows:
-                first = r * wide
-                for k in range(wide):  # a column each: rows this short are slow to broadcast
-                    np.add(first, k, out=index[:, k])
-                np.add.at(pairs, index.reshape(-1), added)
-                if occurring is not None:
-                    np.add.at(occurring, r * FAN + child, np.float32(1))
+        """Adds how often each child is expected at each row and, if asked, occurs. The sums
+        are held in 32 bits meanwhile, so ``at`` should be about SETTLE long; two children make
+        a complex number, and each such pair has an array that the rows index as they are."""
+        wide = FAN // 2
+        held, flat = np.zeros((wide, self.rows), np.complex64), not self.weights.any()
+        seen = None if occurring is None else np.zeros(occurring.size, np.float32)
+        for piece in _pieces(at):
+            for _, child, rows, _, powers, sums in self.choices(ids, piece, flat):
+                added = np.ascontiguousarray(powers.view(np.complex64).T)
+                added *= (1 / sums).astype(np.complex64)
+                for r in rows:
+                    for pairs, some in zip(held, added, strict=True):
+                        np.add.at(pairs, r, some)
+                    if seen is not None:
+                        np.add.at(seen, r * FAN + child, np.float32(1))
+        whole = expected.view(np.result_type(expected, np.complex64)).reshape(-1, wide)
+        for k, pairs in enumerate(held):
+            whole[:, k] += pairs
+        if seen is not None:
+            occurring += seen
 
     def step(self, occurring: np.ndarray, expected: np.ndarray, rate: float) -> None:
         move = rate * np.log((occurring + PRIOR) / (expected + PRIOR))
         self.weights = np.clip(self.weights + move.reshape(self.weights.shape), -MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
 
 
-def blocks_of(texts: Iterator[list[bytes]], size: int = BATCH) -> Iterator[list[list[bytes]]]:
-    part, held = [], 0
-    for words in texts:
-        part.append(words)
-        held += len(words) + 4
-        if held >= size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
-def _pieces(marked: np.ndarray, size: int = BATCH) -> Iterator[np.ndarray]:
+def _pieces(at: np.ndarray, size: int = BATCH) -> Iterator[np.ndarray]:
     """Places of tokens in even pieces of about ``size``."""
-    at = np.flatnonzero(marked)
     yield from np.array_split(at, max(1, round(len(at) / size)))
 
 
@@ -243,13 +278,13 @@ def _model(shared) -> Model:
 
 
 class _Shared:
-    """A broadcast model, without its words if they aren't needed. Its size is
-    bounded by HEAD and MOST_ROWS."""
+    """A broadcast model with the first ``words`` of its known tokens. Its size is
+    bounded by HEAD, the head's words, KNOWN_BYTES and MOST_ROWS."""
 
-    def __init__(self, spark, model: Model, words: bool = True):
+    def __init__(self, spark, model: Model, words: int):
         sent = copy.copy(model)
-        if not words:
-            sent.tokens, sent.ids = [], {}
+        sent.known, sent.log_count = model.known.take(pa.array(range(words), pa.int64())), np.append(model.log_count[:words], 0.0)
+        sent.tokens = sent.counts = sent.more = sent.more_counts = ()  # these again
         self.id = uuid.uuid4().hex
         self.held = spark.sparkContext.broadcast((self.id, zlib.compress(pickle.dumps(sent), 1)))
 
@@ -261,12 +296,16 @@ class _Shared:
 def encoded(docs: DataFrame, model: Model) -> DataFrame:
     """A stored table of the texts' head ids, as ``encode`` gives them, in blocks
     of whole texts: every round reads these instead of the texts."""
-    shared, schema = _Shared(docs.sparkSession, model), arrow_schema("ids binary")
+    shared, schema = _Shared(docs.sparkSession, model, model.rare), arrow_schema("ids binary")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared)
-        for part in blocks_of(words_of(t) for b in batches for t in b.column(0).to_pylist()):
-            yield arrow_batch(schema, [[m.encode(part)[0].astype(np.int32).tobytes()]])
+        for batch in batches:
+            for _, _, words, sizes in divided(batch.column(0)):
+                ids, ends = m.head_ids(m.places(words, sizes)).astype(np.int32), np.cumsum(sizes + 4)
+                for first, end in runs_of(sizes + 4, BATCH):
+                    yield arrow_batch(schema, [[ids[ends[first] - sizes[first] - 4 : ends[end - 1]].tobytes()]])
+        give_back()
 
     return stored(docs.select("text").mapInArrow(each, "ids binary"), "token-ids", "zstd")
 
@@ -293,24 +332,25 @@ def _gather(ids: DataFrame, shared: _Shared, first: bool, rows: int) -> list[np.
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
-        totals, held, n = [np.zeros(size) for _ in range(kinds)], [np.zeros(size, np.float32) for _ in range(kinds)], 0
+        totals, held, n = [np.zeros(size) for _ in range(kinds)], [], 0
 
         def settle() -> None:
-            for total, some in zip(totals, held, strict=True):
-                total += some
-                some[:] = 0
+            own = np.concatenate(held)
+            for at in _pieces(np.flatnonzero(own != model.start), SETTLE):
+                model.add_sums(own, at, totals[0], totals[1] if first else None)
+            held.clear()
 
         for data in (x for b in batches for x in b.column(0)):
-            own = np.frombuffer(data.as_buffer(), np.int32)
-            for at in _pieces(own != model.start):
-                model.add_sums(own, at, held[0], held[1] if first else None)
-                n += len(at)
-                if n > SETTLE:
-                    settle()
-                    n = 0
-        settle()
+            held.append(np.frombuffer(data.as_buffer(), np.int32))
+            n += len(held[-1])
+            if n > SETTLE:
+                settle()
+                n = 0
+        if held:
+            settle()
         cut = np.array_split(np.concatenate(totals), PARTS)
         yield arrow_batch(schema, [list(range(PARTS)), [_short(c) for c in cut]])
+        give_back()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -332,24 +372,33 @@ def table_rows(tokens: int) -> int:
     return min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, wanted - 1).bit_length()))
 
 
+def known_from(counts: DataFrame, total: int) -> int:
+    """The least c of a known token: no more than HEAD tokens have it or a larger one, and
+    together these are no longer than KNOWN_BYTES or all of the head."""
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("long")).toArrow().sort_by([("c", "descending")])
+    c, n, long = (sizes[k].to_numpy() for k in ("c", "n", "long"))
+    among = c[(np.cumsum(n) <= HEAD) & ((np.cumsum(long) <= KNOWN_BYTES) | (c * HEAD >= total))]
+    return int(among[-1]) if len(among) else 1 << 62
+
+
 def train(docs: DataFrame, held_out: Column) -> tuple[Model, DataFrame]:
-    """The model, and the counts as a stored table (token, c)."""
+    """The model, and the counts of the tokens that it doesn't know (token, c)."""
     spark = docs.sparkSession
     own = docs.where(~F.coalesce(held_out, F.lit(False)))
     counts = stored(count_tokens(own), "token-counts")
     distinct, total = counts.agg(F.count("*"), F.sum("c")).first()
     total = total or 0
-    # At most HEAD tokens can hold 1/HEAD of all each.
-    head = counts.where(F.col("c") * HEAD >= total).collect()
-    head.sort(key=lambda r: (-r["c"], bytes(r["token"])))
-    c = np.array([r["c"] for r in head], np.float64)
-    model = Model([bytes(r["token"]) for r in head], c, total, distinct, int(total - c.sum()), distinct - len(head), table_rows(total))
+    least = known_from(counts, total)
+    known = counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
+    tokens, c = known["token"].combine_chunks().cast(pa.binary()), known["c"].to_numpy().astype(np.float64)
+    n = int(np.count_nonzero(c * HEAD >= total))  # at most HEAD tokens can hold 1/HEAD of all each
+    model = Model(tokens[:n], c[:n], total, distinct, int(total - c[:n].sum()), distinct - n, table_rows(total), tokens[n:], c[n:])
     ids = encoded(own, model)
-    expected, occurring = _gather(ids, _Shared(spark, model, words=False), True, model.rows)
+    expected, occurring = _gather(ids, _Shared(spark, model, words=0), True, model.rows)
     model.step(occurring, expected, FIRST_RATE)
     for _ in range(ROUNDS):
-        model.step(occurring, *_gather(ids, _Shared(spark, model, words=False), False, model.rows), RATE)
-    return model, counts
+        model.step(occurring, *_gather(ids, _Shared(spark, model, words=0), False, model.rows), RATE)
+    return model, counts.where(F.col("c") < least)
 
 
 ROW = "token binary, row long, n int, doc_id long, n_tokens long, n_known long, base double, score double"
@@ -357,37 +406,33 @@ ROW = "token binary, row long, n int, doc_id long, n_tokens long, n_known long,
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every document."""
-    shared, schema = _Shared(docs.sparkSession, model), arrow_schema(ROW)
+    shared, schema = _Shared(docs.sparkSession, model, len(model.known)), arrow_schema(ROW)
     log_all = float(np.log10(model.total + model.distinct + 1))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(shared)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), map(words_of, batch.column(2).to_pylist())
-            done = 0
-            for part in blocks_of(texts):
-                rows, doc_ids = keys[done : done + len(part)], batch.column(1).slice(done, len(part)).cast(pa.int64())
-                done += len(part)
-                ids, marked = m.encode(part)
-                logs = np.concatenate([m.log_probabilities(ids, at) for at in _pieces(marked)])
-                sizes = np.array([len(w) + 1 for w in part])
+            for first, end, words, sizes in divided(batch.column(2)):
+                rows, doc_ids = (batch.column(k).slice(first, end - first).cast(pa.int64()) for k in (0, 1))
+                places = m.places(words, sizes)
+                ids, marked = m.head_ids(places), places != -2
+                logs = np.concatenate([m.log_probabilities(ids, at) for at in _pieces(np.flatnonzero(marked))])
+                places, sizes = places[marked], sizes + 1
                 starts = np.cumsum(sizes) - sizes
-                token = ids[marked]
-                rare = token == m.rare
-                known = np.add.reduceat((~rare).astype(np.int64), starts)
-                base = np.add.reduceat(m.log_count[token], starts) - sizes * log_all
-                # One row for each text, under a key that no token has; then its other tokens.
-                yield arrow_batch(schema, [[b" %d" % r for r in rows], rows, [0] * len(part), doc_ids, sizes, known, base, np.add.reduceat(logs, starts)])
-                words, at, n = [], [], []
-                for row, w, a, size in zip(rows, part, starts.tolist(), sizes.tolist(), strict=True):
-                    found = Counter(compress(w, rare[a : a + size - 1].tolist()))
-                    if rare[a + size - 1]:
-                        found[END] = 1
-                    words += found
-                    at += [row] * len(found)
-                    n += found.values()
-                if words:
-                    yield arrow_batch(schema, [words, at, n, *[pa.nulls(len(words), f.type) for f in list(schema)[3:]]])
+                own = m.log_count[places]  # 0 for the unknown
+                logs += np.where(places >= m.rare, own, 0.0)
+                known = np.add.reduceat((places >= 0).astype(np.int64), starts)
+                base = np.add.reduceat(own, starts) - sizes * log_all
+                # One row for each text, under a key that no token has; then its unknown tokens.
+                keys = [b" %d" % r for r in rows.to_pylist()]
+                yield arrow_batch(schema, [keys, rows, [0] * len(keys), doc_ids, sizes, known, base, np.add.reduceat(logs, starts)])
+                other, last = places < 0, starts + sizes - 1
+                ends = rows.filter(pa.array(other[last]))
+                other, at = np.delete(other, last), np.repeat(rows.to_numpy(), sizes - 1)
+                table = pa.table({"token": pa.concat_arrays([words.filter(pa.array(other)), pa.array([END] * len(ends), pa.binary())]), "row": pa.concat_arrays([pa.array(at[other]), ends])})
+                found = table.group_by(["token", "row"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                for part in found.select(["token", "row", "count_all"]).to_batches():
+                    yield arrow_batch(schema, [part.column(0), part.column(1), part.column(2).cast(pa.int32()), *[pa.nulls(part.num_rows, f.type) for f in list(schema)[3:]]])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(each, ROW)
     met = rows.join(counts, "token", "left")

@@ -7,10 +7,12 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import lm, quality, toxicity
+from lodestar.llm.common import words_of
 from lodestar.llm.labels import remainder
 
 DOCS = "doc_id long, text string, label int, score double"
@@ -266,3 +268,70 @@ def test_the_word_three_back_is_a_feature():
         ids, marked = model.encode([[first, b"a", b"b", b"a"]])
         rows.append([int(f[3]) for f in model.features(ids, np.flatnonzero(marked))])
     assert sum(a != b for a, b in zip(*rows, strict=True)) == 1
+
+
+def test_words_divided_in_arrow_are_the_words_of_the_contract(monkeypatch):
+    odd = "".join(f"A{chr(c)}Z{chr(c)}" for c in range(1, 0x3100))
+    texts = [None, "", " ", odd, " a  B\t", "x" * 100, "\x00 \x1c\x85 É", *["one two"] * 9]
+    for size in (1, 16, 1 << 24):
+        monkeypatch.setattr(lm, "SLICE", size)
+        got, runs = [], list(lm.divided(pa.array(["gone", *texts], pa.string()).slice(1)))
+        for _, _, words, sizes in runs:
+            ends = np.cumsum(sizes)
+            got += [words[e - n : e].to_pylist() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        assert got == [words_of(t) for t in texts]
+        assert [r[0] for r in runs] == [0, *(r[1] for r in runs[:-1])] and runs[-1][1] == len(texts)
+    assert not list(lm.divided(pa.array([], pa.string())))
+
+
+def test_only_unknown_tokens_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 30)
+    words = [w for k in range(100) for w in [f"w{k:02}"] * (101 - k)]  # the head needs a thirtieth: none but the end
+    df = spark.createDataFrame([(i, " ".join(words[i::200])) for i in range(200)], "doc_id long, text string")
+    model, counts = lm.train(df, F.lit(False))
+    assert model.known.to_pylist() == [b"", *(b"w%02d" % k for k in range(29))] and len(model.counts) == 1
+    assert {bytes(r["token"]): r["c"] for r in counts.collect()} == {b"w%02d" % k: 101 - k for k in range(29, 100)}
+    total = len(words) + 200
+    for r in lm.score(df, model, counts).collect():
+        own = [101 - int(w[1:]) for w in words[r["doc_id"] :: 200]] + [200]
+        assert (r["n_tokens"], r["n_known"]) == (len(own), len(own))
+        assert r["base_score"] == pytest.approx(sum(math.log10((c + 1) / (total + 102)) for c in own))
+
+
+def test_equal_counts_are_known_together_or_not_at_all(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 3)
+    counts = lambda cs: spark.createDataFrame([(b"%d" % i, c) for i, c in enumerate(cs)], "token binary, c long")
+    assert [lm.known_from(counts(cs), sum(cs)) for cs in ((9, 5, 5, 2), (9, 5, 5, 5), (5, 5, 5, 5), (2,))] == [5, 9, 1 << 62, 2]
+
+
+def test_long_words_outside_the_head_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 4)
+    monkeypatch.setattr(lm, "KNOWN_BYTES", 10)
+    counts = spark.createDataFrame([(b"h" * 50, 40), (b"a", 5), (b"x" * 9, 4)], "token binary, c long")
+    assert lm.known_from(counts, 49) == 40  # the head is known, however long
+    assert lm.known_from(counts.where("c < 40"), 49) == 4
+    monkeypatch.setattr(lm, "KNOWN_BYTES", 9)
+    assert lm.known_from(counts.where("c < 40"), 49) == 5
+
+
+def test_a_long_text_settles_like_many_short_ones(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SETTLE", 64)
+    sizes, add = [], lm.Model.add_sums
+    monkeypatch.setattr(lm.Model, "add_sums", lambda self, ids, at, *sums: (sizes.append(len(at)), add(self, ids, at, *sums))[1])
+    taken = {}
+
+    class Batches:  # runs the tasks' function here
+        def mapInArrow(self, f, ddl):
+            taken["f"] = f
+            raise LookupError
+
+    model = lm.Model([b"", b"a", b"b"], np.array([300.0, 200.0, 100.0]), 600, 3, 0, 0, 1 << 8)
+    monkeypatch.setattr(lm, "_model", lambda shared: model)
+    with pytest.raises(LookupError):
+        lm._gather(Batches(), None, True, model.rows)
+    ids = model.encode([[b"a", b"b"] * 500])[0].astype(np.int32)
+    out = list(taken["f"](iter([pa.record_batch([pa.array([ids.tobytes()])], ["ids"])])))
+    assert sum(sizes) == 1001 and max(sizes) <= 2 * lm.SETTLE
+    flat = np.concatenate([lm._long(d) for d in out[0].column(1).to_pylist()])
+    features = 2 * sum(model.depth[ids[3:]]) + 2 * 1001  # four rows at the root, two below
+    assert [x.sum() for x in np.split(flat, 2)] == pytest.approx([features] * 2, rel=1e-2)
